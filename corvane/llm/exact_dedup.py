@@ -24,7 +24,7 @@ from .common import partitions, read_table, written
 
 _RUN = "dest int, run binary"
 #: A run's record: sort digest, verification digest, length, smallest identifier, documents seen.
-RECORD = np.dtype([("key", ">u8"), ("sha", "S32"), ("length", "<i8"), ("keep", "<i8"), ("n", "<i8")])
+RECORD = np.dtype([("key", "<u8"), ("sha", "S32"), ("length", "<i8"), ("keep", "<i8"), ("n", "<i8")])
 
 
 def merged(runs: list[np.ndarray]) -> np.ndarray:
@@ -32,9 +32,9 @@ def merged(runs: list[np.ndarray]) -> np.ndarray:
     rows = np.concatenate(runs) if runs else np.zeros(0, RECORD)
     if not len(rows):
         return rows
-    key = rows["key"].astype(np.uint64)
+    key = rows["key"]
     rows = rows[np.argsort(key, kind="stable")]  # timsort: a merge of the runs that it finds
-    key = rows["key"].astype(np.uint64)
+    key = rows["key"]
     tied = np.zeros(len(rows), bool)
     same = key[1:] == key[:-1]
     tied[1:] |= same
@@ -43,20 +43,20 @@ def merged(runs: list[np.ndarray]) -> np.ndarray:
         return rows
     t = rows[tied]
     sha = t["sha"].view("S32")
-    t = t[np.lexsort((t["keep"], t["length"], sha, t["key"].astype(np.uint64)))]
+    t = t[np.lexsort((t["keep"], t["length"], sha, t["key"]))]
     first = np.ones(len(t), bool)
     first[1:] = (t["key"][1:] != t["key"][:-1]) | (t["sha"][1:] != t["sha"][:-1]) | (t["length"][1:] != t["length"][:-1])
     at = np.flatnonzero(first)
     kept = t[at].copy()
     kept["n"] = np.add.reduceat(t["n"], at)
     out = np.concatenate([rows[~tied], kept])
-    return out[np.argsort(out["key"].astype(np.uint64), kind="stable")]
+    return out[np.argsort(out["key"], kind="stable")]
 
 
 def _sent(run: np.ndarray, me: int, round_: int, fan_in: int, rounds: int) -> list[tuple[int, bytes]]:
     """The parts of a run and the partition that each goes to in this round: digit `round_` becomes the owner's."""
     width = fan_in**rounds
-    owner = (run["key"].astype(np.uint64) >> np.uint64(32)).astype(np.int64) * width >> 32
+    owner = (run["key"] >> np.uint64(32)).astype(np.int64) * width >> 32
     step = fan_in**round_
     digit = owner // step % fan_in
     base = me - me // step % fan_in * step
@@ -105,7 +105,7 @@ def _final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = rows[rows["n"] > 1]
     if len(rows):
         sha = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(0, 32 * len(rows) + 1, 32, dtype=np.int32)), pa.py_buffer(rows["sha"].tobytes())])
-        yield pa.RecordBatch.from_arrays([pa.array(rows["key"].astype(np.uint64).view(np.int64)), sha, pa.array(rows["length"].astype(np.int64)), pa.array(rows["keep"].astype(np.int64)), pa.array(rows["n"].astype(np.int64))], ["key", "sha", "length", "keep_id", "n_copies"])
+        yield pa.RecordBatch.from_arrays([pa.array(rows["key"].view(np.int64)), sha, pa.array(rows["length"].astype(np.int64)), pa.array(rows["keep"].astype(np.int64)), pa.array(rows["n"].astype(np.int64))], ["key", "sha", "length", "keep_id", "n_copies"])
 
 
 def exact_duplicates(docs: DataFrame, fan_in: int = 4) -> DataFrame:
