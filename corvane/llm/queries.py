@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("exact_dedup", "dart_minhash")
+MODULES = ("exact_dedup", "dart_minhash", "fm_index")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
