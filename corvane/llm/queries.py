@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("exact_dedup", "dart_minhash", "fm_index", "line_dedup", "pu_quality")
+MODULES = ("exact_dedup", "dart_minhash", "fm_index", "line_dedup", "pu_quality", "bpe")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
