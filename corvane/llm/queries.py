@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("exact_dedup", "dart_minhash", "fm_index", "line_dedup", "pu_quality", "bpe", "packing", "language_id")
+MODULES = ("language_id", "quote_links", "packing", "pu_quality", "dart_minhash", "bpe", "fm_index", "exact_dedup", "toxicity", "line_dedup")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
