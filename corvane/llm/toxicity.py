@@ -139,17 +139,20 @@ def _sparse(u: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def kernel(u: Units, dense: np.ndarray) -> np.ndarray:
     """Kernel of each block with each landmark; dense: (codes, landmarks)."""
     b, c, w = _sparse(u)
-    out = np.zeros((len(u.start), dense.shape[1]))
-    for i in range(0, len(b), 50_000):
-        bb = b[i : i + 50_000]
+    out, step = np.zeros((len(u.start), dense.shape[1]), np.float32), 8000
+    w = w.astype(np.float32)
+    for i in range(0, len(b), step):
+        bb = b[i : i + step]
         first = np.flatnonzero(np.append(True, bb[1:] != bb[:-1]))
-        out[bb[first]] += np.add.reduceat(dense[c[i : i + 50_000]] * w[i : i + 50_000, None], first)
+        part = dense[c[i : i + step]]
+        part *= w[i : i + step, None]
+        out[bb[first]] += np.add.reduceat(part, first)
     return out
 
 
 def _machine(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-5, steps: int = 40) -> np.ndarray:
     """Weights (the last one the bias) of least ridge * |w|^2 / 2 + weighted squared hinge loss, by Newton's method."""
-    z = np.hstack([z, np.ones((len(z), 1))])
+    z = np.hstack([z, np.ones((len(z), 1), z.dtype)])
     keep = np.full(z.shape[1], ridge)
     keep[-1] = 1e-8
 
@@ -161,8 +164,13 @@ def _machine(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     for _ in range(steps):
         slack = 1 - y * (z @ w)
         on = slack > 0
-        gradient = keep * w - 2 * z[on].T @ (weight * slack * y)[on]
-        step = np.linalg.solve(np.diag(keep) + 2 * (z[on] * weight[on, None]).T @ z[on], gradient)
+        gradient = keep * w - 2 * z.T @ np.where(on, weight * slack * y, 0)
+        curve = np.diag(keep)
+        for i in range(0, len(z), 4000):  # in blocks, for the driver's memory
+            k = i + np.flatnonzero(on[i : i + 4000])
+            part = z[k].astype(np.float64)
+            curve += 2 * (part * weight[k, None]).T @ part
+        step = np.linalg.solve(curve, gradient)
         size = 1.0
         while size > 1e-4 and loss(w - size * step) > now:
             size /= 2
@@ -205,9 +213,10 @@ def _gapped(name: bytes) -> list[bytes]:
 def fitted(lists: pa.Array, toxic: np.ndarray, rounds: int = 4) -> Model:
     """The machine of labelled documents, given by distinct_units(). Two thirds train; the last third sets the threshold."""
     coded = lists.flatten().dictionary_encode()
+    lists_offsets = lists.offsets.to_numpy()
     name = np.array(coded.dictionary.to_pylist(), object)
     which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    owner = np.repeat(np.arange(len(lists)), np.diff(lists_offsets))
     held = np.arange(len(lists)) % 3 == 2
     train = ~held[owner]
     bad, fine_ = train & toxic[owner], train & ~toxic[owner]
@@ -221,11 +230,11 @@ def fitted(lists: pa.Array, toxic: np.ndarray, rounds: int = 4) -> Model:
     landmarks = np.unique(np.concatenate([rank[: LANDMARKS * 5 // 8], usual[: LANDMARKS * 3 // 16], spread[: LANDMARKS * 3 // 16]]))
 
     b, c, w = _sparse(named(name[landmarks].tolist()))
-    dense = np.zeros((32**3, len(landmarks)))
+    dense = np.zeros((32**3, len(landmarks)), np.float32)
     np.add.at(dense, (c, b), w)
-    value, vector = np.linalg.eigh(dense.T @ dense)
-    some = value > 1e-6 * value.max()
-    root = vector[:, some] / np.sqrt(value[some])
+    value, vector = np.linalg.eigh((dense.T @ dense).astype(np.float64))
+    some = value > 1e-5 * value.max()
+    root = (vector[:, some] / np.sqrt(value[some])).astype(np.float32)
     known = np.flatnonzero(in_clean > 0)
     negative = np.union1d(usual[:6000][in_clean[usual[:6000]] > 0], spread[in_clean[spread] > 0][:6000])
     score, table, bias = merit, np.zeros(32**3), 0.0
@@ -246,7 +255,7 @@ def fitted(lists: pa.Array, toxic: np.ndarray, rounds: int = 4) -> Model:
         weight = np.concatenate([mass, np.repeat(mass / 4, 2), 3 * clean_mass / max(clean_mass.sum(), 1e-9)])
         y = np.concatenate([np.ones(3 * len(positive)), -np.ones(len(rest))])
         solution = _machine(z, y, weight)
-        table, bias = (dense @ (root @ solution[:-1])) * _solid(), float(solution[-1])
+        table, bias = (dense @ (root @ solution[:-1].astype(np.float32))) * _solid(), float(solution[-1])
         every = np.concatenate([unit_scores(named(name[i : i + 50_000].tolist()), table) for i in range(0, len(name), 50_000)])
         score = np.nan_to_num(every, nan=-1e9) + bias
         if r + 1 < rounds:  # clean units that look worst join the negatives
