@@ -1,0 +1 @@
+"""Operators of the audit: DataFrame to DataFrame, in Spark SQL."""

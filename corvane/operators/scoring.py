@@ -1,0 +1,302 @@
+"""Both scoring models over Markdown or markup, as one projection: a document is read once and nothing is shuffled.
+
+Detectors work on arrays of matches within the row. Scores describe style markers, not truth.
+"""
+
+from __future__ import annotations
+
+from ..functions import text as T
+from ..functions.dialect import Spark
+from ..functions.layers import Layer
+from . import scalar as S
+
+HEADING = r"(?m)^#{1,6}[ \t]+[^\n]*$"
+SOURCE = r"(?i)according\s+to|reported\s+by|published\s+(?:by|in)|\[[\d,\s]*\]|\(\d{4}\)|source:|via\s+|data\s+from|survey\s+by|study\s+(?:by|published)"
+_DASH = r"[\x{2014}\x{2013}-]"
+ATTRIBUTION = (
+    rf"{_DASH}\s*[A-Z][a-z]+\s+[A-Z][a-z]+|{_DASH}\s*(?:Dr\.|Prof\.|Mr\.|Mrs\.|Ms\.)\s+[A-Z][a-z]+|said\s+[A-Z][a-z]+\s+[A-Z][a-z]+|writes?\s+[A-Z][a-z]+\s+[A-Z]",
+    r"(?i)according\s+to\s+[A-Z][a-z]+|told\s+the\s+|(?:according\s+to|reported\s+by|per)\s+(?:the\s+)?[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+(?:Institute|University|Foundation|Association|Corporation|Inc\.?|LLC|Report|Study|Survey)",
+)
+IDENTIFIER = r"(?i)v$|\b(?:v|version|versions|port|endpoint|id|ids|api|node|release|build|branch|commit|issue|status|code)\b\s*:?\s*$"
+QUOTED_LINE, QUOTED_TEXT = r"(?m)^>\s*[^\n]+$", r"[\x22\x{201C}][^\x22\x{201D}]{15,}[\x22\x{201D}]"
+STOP = ("THE", "AND", "FOR", "BUT", "YOU", "NOT", "YES", "OUT", "OFF", "HOW", "WHY", "OUR", "WHO")
+SEMANTIC = ("article", "main", "header", "footer", "nav", "section")
+KEYWORDS = r"(?i)sources|references|citations|bibliography|further reading"
+
+
+def prepared(content: str = "content", path: str = "path") -> list[Layer]:
+    """is_html, text (what a reader sees), pre_text (what the clarity of v2 reads), ext."""
+    return [
+        lambda d: {"is_html": f"({T.is_html(d, content)} OR substr({path}, length({path}) - 4) = '.html')", "pre_text": T.preprocessed(d, content), "ext": d.first(f"lower({path})", r"\.([^./]*)$")},
+        lambda d: {"text": f"CASE WHEN is_html THEN {T.visible(d, content)} ELSE pre_text END"},
+    ]
+
+
+def _positions(d: Spark, t: str, pattern: str) -> str:
+    """0-based places of a pattern's matches: what is between matches and the matches before, added up once."""
+    found, between = d.every(t, pattern), d.split(t, pattern)
+    if type(d) is Spark:
+        zipped = f"zip_with(slice({between}, 1, size({found})), {found}, (g, m) -> named_struct('g', CAST(length(g) AS BIGINT), 'm', CAST(length(m) AS BIGINT)))"
+        return f"aggregate({zipped}, named_struct('at', 0L, 'all', CAST(array() AS ARRAY<BIGINT>)), (a, x) -> named_struct('at', a.at + x.g + x.m, 'all', concat(a.all, array(a.at + x.g))), a -> a.all)"
+    return f"list_transform(range(1, len({found}) + 1), lambda i: CAST(list_sum(list_transform(({between})[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(({found})[1:i - 1], lambda m: length(m))), 0) AS BIGINT))"
+
+
+def _zip(d: Spark, a: str, b: str, to: str) -> str:
+    """to over elements x of a and y of b, pairwise."""
+    if type(d) is Spark:
+        return f"zip_with({a}, {b}, (x, y) -> {to})"
+    return f"list_transform(range(1, len({a}) + 1), lambda i: {to.replace('@x', f'({a})[i]').replace('@y', f'({b})[i]')})"
+
+
+def statistics(t: str = "text") -> list[Layer]:
+    """stats: of every statistic in order, its text, place, whether it counts, and whether a source is near."""
+
+    def places(d: Spark) -> dict[str, str]:
+        return {"stat_raw": d.every(t, T.STATISTIC), "stat_at": _positions(d, t, T.STATISTIC)}
+
+    def judged(d: Spark) -> dict[str, str]:
+        spark = type(d) is Spark
+        x, y = ("x", "y") if spark else ("@x", "@y")
+        before = f"substr({t}, CAST(greatest({y} - 60, 0) + 1 AS INT), CAST({y} - greatest({y} - 60, 0) AS INT))"
+        near = f"substr({t}, CAST(greatest({y} - 50, 0) + 1 AS INT), CAST({y} + 200 - greatest({y} - 50, 0) AS INT))"
+        kept = f"NOT ({d.has(x, T.YEAR)}) AND NOT ({d.has(before, IDENTIFIER)})"
+        return {"stat_kept": _zip(d, "stat_raw", "stat_at", kept), "stat_near": _zip(d, "stat_raw", "stat_at", d.has(near, SOURCE))}
+
+    def counted(d: Spark) -> dict[str, str]:
+        # The k-th kept statistic of a value is judged at the k-th occurrence of that value, kept or not: of each value, as
+        # many of its first occurrences count as are kept.
+        if type(d) is Spark:
+            nth = "transform(stat_raw, (v, i) -> size(filter(slice(stat_raw, 1, i + 1), u -> u = v)))"
+            kept = "transform(stat_raw, v -> size(filter(zip_with(stat_raw, stat_kept, (r, k) -> r = v AND k), b -> b)))"
+            hits = f"size(filter(zip_with(zip_with({nth}, {kept}, (a, b) -> a <= b), stat_near, (c, n) -> c AND n), h -> h))"
+            return {"stat_total": "CAST(size(filter(stat_kept, k -> k)) AS BIGINT)", "stat_sourced": f"CAST({hits} AS BIGINT)"}
+        nth = "len(list_filter(stat_raw[1:i], lambda u: u = stat_raw[i]))"
+        kept = "len(list_filter(range(1, len(stat_raw) + 1), lambda j: stat_raw[j] = stat_raw[i] AND stat_kept[j]))"
+        return {"stat_total": "CAST(len(list_filter(stat_kept, lambda k: k)) AS BIGINT)", "stat_sourced": f"CAST(len(list_filter(range(1, len(stat_raw) + 1), lambda i: stat_near[i] AND {nth} <= {kept})) AS BIGINT)"}
+
+    return [places, judged, counted]
+
+
+def quotations(t: str = "text") -> list[Layer]:
+    """quote_total, quote_attributed: quoted lines and quotations; the k-th of a text is judged at its k-th occurrence."""
+
+    def needles(d: Spark) -> dict[str, str]:
+        both = f"concat({d.every(t, QUOTED_LINE)}, {d.every(t, QUOTED_TEXT)})" if type(d) is Spark else f"list_concat({d.every(t, QUOTED_LINE)}, {d.every(t, QUOTED_TEXT)})"
+        return {"quote_raw": d.map(both, "q", d.trim("q"))}
+
+    def judged(d: Spark) -> dict[str, str]:
+        """Per record: the place of its occurrence, or -1."""
+        if type(d) is Spark:
+            quoted = r"regexp_replace(v, r'([^0-9A-Za-z_])', r'\\$1')"
+            nth = "size(filter(slice(quote_raw, 1, i + 1), u -> u = v))"
+            parts = f"split({t}, {quoted})"
+            upto = f"aggregate(slice({parts}, 1, {nth}), 0L, (a, g) -> a + length(g)) + ({nth} - 1) * length(v)"
+            return {"quote_at": f"transform(quote_raw, (v, i) -> CASE WHEN size({parts}) > {nth} THEN CAST({upto} AS BIGINT) ELSE -1L END)"}
+        nth = "len(list_filter(quote_raw[1:i], lambda u: u = quote_raw[i]))"
+        parts = f"string_split({t}, quote_raw[i])"
+        upto = f"list_sum(list_transform(({parts})[1:{nth}], lambda g: length(g))) + ({nth} - 1) * length(quote_raw[i])"
+        return {"quote_at": f"list_transform(range(1, len(quote_raw) + 1), lambda i: CASE WHEN len({parts}) > {nth} THEN CAST({upto} AS BIGINT) ELSE -1 END)"}
+
+    def counted(d: Spark) -> dict[str, str]:
+        x, y = ("x", "y") if type(d) is Spark else ("@x", "@y")
+        near = f"substr({t}, CAST(greatest({y} - 80, 0) + 1 AS INT), CAST({y} + length({x}) + 150 - greatest({y} - 80, 0) AS INT))"
+        hit = f"{y} >= 0 AND ({' OR '.join(d.has(near, p) for p in ATTRIBUTION)})"
+        hits = _zip(d, "quote_raw", "quote_at", hit)
+        return {"quote_total": d.size("quote_raw"), "quote_found": d.size(d.filter("quote_at", "a", "a >= 0")), "quote_attributed": d.size(d.filter(hits, "h", "h"))}
+
+    return [needles, judged, counted]
+
+
+def headings(t: str = "text") -> list[Layer]:
+    """Levels and texts of headings, their issues and status."""
+
+    def found(d: Spark) -> dict[str, str]:
+        return {"heading_lines": d.every(t, HEADING)}
+
+    def parts(d: Spark) -> dict[str, str]:
+        return {
+            "levels": d.map("heading_lines", "h", f"CAST(length({d.first('h', r'^(#+)')}) AS BIGINT)"),
+            "heading_keys": d.map("heading_lines", "h", f"lower({d.trim(d.sub('h', r'#+[ \t]*$'))})"),
+        }
+
+    def issues(d: Spark) -> dict[str, str]:
+        if type(d) is Spark:
+            skips = "CAST(size(filter(transform(levels, (l, i) -> i > 0 AND l > levels[i - 1] + 1), s -> s)) AS BIGINT)"
+        else:
+            skips = "CAST(len(list_filter(range(2, len(levels) + 1), lambda i: levels[i] > levels[i - 1] + 1)) AS BIGINT)"
+        first = d.at("levels", "1")
+        return {"heading_count": d.size("levels"), "heading_skips": skips, "heading_repeats": f"{d.size('heading_keys')} - {d.size(d.distinct('heading_keys'))}", "starts_late": f"coalesce({first} <> 1, false)"}
+
+    def status(d: Spark) -> dict[str, str]:
+        return {"heading_status": "CASE WHEN heading_count = 0 OR heading_skips > 0 THEN 'fail' WHEN starts_late OR heading_repeats > 0 THEN 'warn' ELSE 'pass' END"}
+
+    return [found, parts, issues, status]
+
+
+def sections(t: str = "text") -> list[Layer]:
+    """Sections (the text before the first heading and each heading's) and how many are thin: 2 * prose + heading words below 10."""
+
+    def bodies(d: Spark) -> dict[str, str]:
+        return {"section_words": d.map(d.split(t, HEADING), "b", T.words(d, "b"))}
+
+    def thin(d: Spark) -> dict[str, str]:
+        if type(d) is Spark:
+            n = "size(filter(transform(section_words, (w, i) -> CASE WHEN i = 0 THEN size(levels) = 0 AND w < 5 ELSE 2 * w + regexp_count(heading_lines[i - 1], r'\\w+') < 10 END), x -> x))"
+            return {"section_count": "CAST(greatest(size(levels), 1) AS BIGINT)", "section_thin": f"CAST({n.replace(chr(92) * 2, chr(92))} AS BIGINT)"}
+        n = r"len(list_filter(range(1, len(section_words) + 1), lambda i: CASE WHEN i = 1 THEN len(levels) = 0 AND section_words[1] < 5 ELSE 2 * section_words[i] + len(regexp_extract_all(heading_lines[i - 1], '\w+')) < 10 END))"
+        return {"section_count": "CAST(greatest(len(levels), 1) AS BIGINT)", "section_thin": f"CAST({n} AS BIGINT)"}
+
+    def status(d: Spark) -> dict[str, str]:
+        return {"section_status": "CASE WHEN section_thin = 0 THEN 'pass' WHEN section_thin * 2 > section_count THEN 'fail' ELSE 'warn' END"}
+
+    return [bodies, thin, status]
+
+
+def paragraphs(t: str = "text", most: int = 200) -> list[Layer]:
+    def lengths(d: Spark) -> dict[str, str]:
+        return {"paragraph_words": d.sort(T.paragraph_lengths(d, t))}
+
+    def figures(d: Spark) -> dict[str, str]:
+        n = d.size("paragraph_words")
+        mid = f"({d.at('paragraph_words', f'CAST(floor(({n} + 1) / 2e0) AS BIGINT)')} + {d.at('paragraph_words', f'CAST(floor({n} / 2e0) AS BIGINT) + 1')}) / 2e0"
+        return {"paragraph_count": n, "paragraph_min": f"coalesce({d.at('paragraph_words', '1')}, 0)", "paragraph_max": f"coalesce({d.at('paragraph_words', n)}, 0)", "paragraph_median": f"coalesce({mid}, 0e0)", "paragraph_long": d.size(d.filter("paragraph_words", "w", f"w > {most}"))}
+
+    def status(d: Spark) -> dict[str, str]:
+        return {"paragraph_status": "CASE WHEN paragraph_count = 0 THEN 'fail' WHEN paragraph_long = 0 AND paragraph_min >= 10 THEN 'pass' ELSE 'warn' END"}
+
+    return [lengths, figures, status]
+
+
+def answer_first(t: str = "text") -> list[Layer]:
+    return [
+        lambda d: {"intro": T.intro(d, t)},
+        lambda d: {"intro_words": T.blank_words(d, "intro"), "intro_defines": T.defines(d, "intro")},
+        lambda d: {"answer_status": "CASE WHEN intro = '' THEN 'fail' WHEN intro_words BETWEEN 40 AND 90 AND intro_defines THEN 'pass' ELSE 'warn' END"},
+    ]
+
+
+def freshness(t: str = "text") -> list[Layer]:
+    return [
+        lambda d: {"published": d.first(d.sub(t, r"\*{1,3}"), T.PUBLISHED), "reviewed": d.first(d.sub(t, r"\*{1,3}"), T.REVIEWED)},
+        lambda d: {"fresh_status": "CASE WHEN published <> '' AND reviewed <> '' THEN 'pass' ELSE 'warn' END"},
+    ]
+
+
+def links(t: str = "text") -> list[Layer]:
+    """Link counts, whether a sources section holds a link within 40 lines of its heading, and the status."""
+
+    def counted(d: Spark) -> dict[str, str]:
+        segments = d.split(t, r"(?m)^#{1,6}[ \t]")
+        lines = lambda s: d.split(s, r"\n")
+        block = (lambda s: f"array_join(slice({lines(s)}, 2, 39), '\n')") if type(d) is Spark else (lambda s: f"array_to_string(({lines(s)})[2:40], chr(10))")
+        tail = f"slice({segments}, 2, greatest(size({segments}) - 1, 0))" if type(d) is Spark else f"({segments})[2:]"
+        first = d.at(lines("s"), "1")
+        real = d.filter(tail, "s", f"{d.has(first, KEYWORDS)} AND {d.has(block('s'), r'\[[^\]]+\]\([^)]+\)|(?i:href=[\x22\x27]https?://)')}")
+        return {"external": T.external_links(d, t), "internal": T.internal_links(d, t), "word_count": T.words(d, t), "sources_section": f"{d.size(real)} > 0"}
+
+    def status(d: Spark) -> dict[str, str]:
+        return {
+            "link_farm": "external > 30 AND word_count < 500",
+            "link_status": "CASE WHEN external > 30 AND word_count < 500 THEN 'fail' WHEN external >= 3 THEN 'pass' ELSE 'warn' END",
+        }
+
+    return [counted, status]
+
+
+def acronyms(name: str, t: str, known: dict[str, str] | None = None) -> list[Layer]:
+    """Distinct acronyms outside second-level headings that nothing explains: no expansion near, no adjacent parentheses."""
+    known = known or {}
+
+    def found(d: Spark) -> dict[str, str]:
+        all_ = d.distinct(d.every(d.sub(t, r"(?m)^##+[^\n]*$"), r"\b[A-Z]{2,}\b"))
+        return {f"{name}_all": d.filter(all_, "a", f"a NOT IN ({', '.join(map(repr, STOP))})")}
+
+    def judged(d: Spark) -> dict[str, str]:
+        edge = d.rx(r"\b")[2:-1] if type(d) is Spark else r"\b"
+        q = "r" if type(d) is Spark else ""
+        near = lambda least: f"concat({q}'(?i){edge}', a, {q}'[\\s*_~]*\\([^)]{least}\\)|\\([^)]{least}\\)[\\s*_~]*', a, {q}'{edge}')"
+        match = lambda p: f"({t} RLIKE {p})" if type(d) is Spark else f"regexp_matches({t}, {p})"
+        other = f"length(a) > 2 AND NOT {match(near('+'))}"
+        cases = "".join(
+            f"WHEN a = '{acr}' THEN NOT {d.has(t, rf'(?i)\b{acr}\b[\s\S]{{0,{max(0, 120 - len(acr) - len(full))}}}{full}|{full}[\s\S]{{0,{max(0, 120 - len(full))}}}\b{acr}\b')} AND NOT {match(near('{10,}'))} " for acr, full in known.items()
+        )
+        return {f"{name}_unexplained": d.size(d.filter(f"{name}_all", "a", f"CASE {cases}ELSE {other} END" if cases else other))}
+
+    return [found, judged]
+
+
+def v1(t: str = "text", content: str = "content", limit: float = 0.02) -> list[Layer]:
+    """The five dimensions of the first model and their total."""
+
+    def structure(d: Spark) -> dict[str, str]:
+        semantic = " + ".join(f"CASE WHEN {d.has(content, rf'(?i)<{tag}[\s>]')} THEN 1 ELSE 0 END" for tag in SEMANTIC)
+        return {
+            "v1_answer": "CASE WHEN intro <> '' AND intro_words BETWEEN 40 AND 90 THEN CASE WHEN intro_defines THEN 10 ELSE 7 END ELSE 0 END",
+            "v1_tables": f"CASE WHEN {d.has(content, r'(?i)<table[\s>]|(?m:^\|?[ \t]*:?-{3,}:?[ \t]*\|[-:| \t]*$)')} THEN 4 ELSE 0 END",
+            "v1_lists": f"CASE WHEN {d.has(content, r'(?i)<[uo]l[\s>]|(?m:^[ \t]*(?:[-*+]|\d+\.)[ \t]+\S)')} THEN 3 ELSE 0 END",
+            "v1_headers": f"CASE WHEN {d.has(content, r'(?i)<h[23][\s>]|(?m:^##+[ \t]+\S)')} THEN 3 ELSE 0 END",
+            "v1_unsemantic": f"is_html AND {semantic} < 3",
+            "v1_dynamic": d.has(content, r"(?i)id=[\x22\x27]?(?:app|root)\b|createapp\(|reactdom\.render\("),
+            **S.v1_text_scores(d, t),
+            "pronoun_points": T.density_points(d, t, limit),
+        }
+
+    def points(d: Spark) -> dict[str, str]:
+        return {
+            "v1_structure": "CAST(greatest(v1_answer + v1_tables + v1_lists + v1_headers - CASE WHEN v1_unsemantic THEN 4 ELSE 0 END, 0) AS BIGINT)",
+            "v1_statistics": "CAST(CASE WHEN stat_count >= 3 THEN 20 WHEN stat_count > 0 THEN 10 ELSE 0 END AS BIGINT)",
+            "v1_quotations": "CAST(CASE WHEN quote_count >= 2 THEN 20 WHEN quote_count > 0 THEN 10 ELSE 0 END AS BIGINT)",
+            "v1_citations": "CAST(CASE WHEN link_count >= 3 THEN 15 WHEN link_count >= 1 THEN 8 ELSE 0 END + CASE WHEN has_sources THEN 5 ELSE 0 END AS BIGINT)",
+            "v1_clarity": "CAST(20 - pronoun_points - least(5, acr_unexplained) AS BIGINT)",
+        }
+
+    return [structure, points, lambda d: {"v1_total": "v1_structure + v1_statistics + v1_quotations + v1_citations + v1_clarity"}]
+
+
+def profiles(content: str = "content") -> list[Layer]:
+    def counts(d: Spark) -> dict[str, str]:
+        return {f"signals_{p.replace('-', '_')}": S.signals(d, p, content) for p in S.PROFILE_SIGNALS} | {"fences": d.count(content, "```")}
+
+    def chosen(d: Spark) -> dict[str, str]:
+        p, c = S.profile(d, {k: f"signals_{k.replace('-', '_')}" for k in S.PROFILE_SIGNALS}, "fences", "ext")
+        return {"profile": p, "confidence": c}
+
+    return [counts, chosen]
+
+
+def v2(limit: float = 0.05) -> list[Layer]:
+    """The five dimensions of the second model, the effective score over the profile's dimensions, and the band."""
+
+    def points(d: Spark) -> dict[str, str]:
+        sr, qr = d.div("stat_sourced", "greatest(stat_total, 1)"), d.div("quote_attributed", "greatest(quote_total, 1)")
+        return {
+            "v2_structure": """CAST(least(20, CASE heading_status WHEN 'pass' THEN 7 WHEN 'warn' THEN 4 ELSE 0 END + CASE section_status WHEN 'pass' THEN 5 WHEN 'warn' THEN 2 ELSE 0 END
+                + CASE answer_status WHEN 'pass' THEN 5 WHEN 'warn' THEN 2 ELSE 0 END + CASE WHEN paragraph_median >= 10 AND paragraph_long = 0 THEN 3 WHEN paragraph_status = 'pass' THEN 2 ELSE 1 END) AS BIGINT)""",
+            "v2_statistics": f"""CAST(least(20, CASE WHEN stat_total = 0 THEN 0 WHEN {sr} >= 0.8e0 AND stat_total >= 3 THEN 15 WHEN {sr} >= 0.5e0 AND stat_total >= 2 THEN 10 WHEN stat_sourced > 0 AND stat_total >= 3 THEN 6 ELSE 2 END
+                + CASE WHEN stat_total = 0 THEN 0 WHEN stat_total >= 5 AND {sr} >= 0.7e0 THEN 5 WHEN stat_total >= 3 AND {sr} >= 0.5e0 THEN 3 WHEN {sr} >= 0.5e0 THEN 1 ELSE 0 END) AS BIGINT)""",
+            "v2_quotations": f"""CAST(CASE WHEN quote_total = 0 THEN 0 ELSE CASE WHEN quote_attributed = quote_total AND quote_total >= 2 THEN 12 WHEN {qr} >= 0.7e0 THEN 8 WHEN quote_attributed > 0 THEN 4 ELSE 0 END
+                + CASE WHEN quote_total >= 3 AND {qr} >= 0.8e0 THEN 8 WHEN quote_total >= 2 AND {qr} >= 0.7e0 THEN 5 ELSE 2 END END AS BIGINT)""",
+            "v2_citations": """CAST(CASE WHEN link_farm THEN 0 ELSE least(20, CASE WHEN external >= 5 THEN 12 WHEN external >= 3 THEN 9 WHEN external >= 1 THEN 5 ELSE 0 END + CASE WHEN sources_section THEN 5 WHEN external >= 3 THEN 3 ELSE 0 END
+                + CASE WHEN fresh_status = 'pass' THEN 3 WHEN published <> '' OR reviewed <> '' THEN 1 ELSE 0 END) END AS BIGINT)""",
+            "v2_pronoun_points": T.density_points(d, "pre_text", limit),
+        }
+
+    def clarity(d: Spark) -> dict[str, str]:
+        lost = "CASE paragraph_status WHEN 'fail' THEN 8 WHEN 'warn' THEN CASE WHEN paragraph_min < 10 THEN least(5, (10 - paragraph_min) * 2) ELSE 0 END + least(3, paragraph_long) ELSE 0 END"
+        return {"v2_clarity": f"CAST(greatest(0, least(20, 20 - {lost} - least(5, v2_pronoun_points) - least(3, acr2_unexplained))) AS BIGINT)"}
+
+    def total(d: Spark) -> dict[str, str]:
+        on = {k: S.applicable(k, "profile") for k in S.DIMENSIONS}
+        got = " + ".join(f"CASE WHEN {c} THEN v2_{k} ELSE 0 END" for k, c in on.items())
+        most = " + ".join(f"CASE WHEN {c} THEN 20 ELSE 0 END" for c in on.values())
+        return {"v2_score": d.floor(f"100e0 * ({got}) / ({most}) + 0.5e0")}
+
+    return [points, clarity, total, lambda d: {"band": S.band("v2_score")}]
+
+
+def everything(content: str = "content", path: str = "path") -> list[Layer]:
+    """All observations and both scores of documents (content, path)."""
+    return [
+        *prepared(content, path), *statistics(), *quotations(), *headings(), *sections(), *paragraphs(), *answer_first(), *freshness(), *links(),
+        *acronyms("acr", "text"), *acronyms("acr2", "pre_text"), *v1(), *profiles(content), *v2(),
+    ]

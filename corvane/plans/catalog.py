@@ -5,16 +5,54 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..functions.layers import Layer, apply, check_sql
+from ..operators import scoring
+from .corpora import MARKDOWN, MARKDOWN_FROM, PATH
+
+TABLES = ("documents", "pages", "labels", "conversations", "benchmark")
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived Markdown pages: (doc_id, path, content)."""
+    return table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").selectExpr("doc_id", f"{PATH} AS path", f"{MARKDOWN} AS content")
+
+
+def projection(name: str, source: Callable[[SparkSession, str], DataFrame], sql_from: str, layers: list[Layer], keep: list[str]) -> None:
+    """Register a query that only projects, in both engines from one definition."""
+    _QUERIES[name] = lambda spark, d: apply(source(spark, d), layers, keep)
+    _SQL[name] = check_sql(sql_from, layers, keep)
+
+
+EVERYTHING = scoring.everything()
+projection(
+    "score_v2_dims", markdown, MARKDOWN_FROM, EVERYTHING,
+    ["doc_id", "profile", "confidence", "v2_structure", "v2_statistics", "v2_quotations", "v2_citations", "v2_clarity", "v2_score", "band"],
+)
+for _name, _keep in {
+    "stat_attribution": ["stat_total", "stat_sourced"], "quote_attribution": ["quote_total", "quote_found", "quote_attributed"], "heading_skips": ["heading_count", "heading_skips", "heading_repeats", "starts_late", "heading_status"],
+    "sections_thin": ["section_count", "section_thin", "section_status"], "paragraph_stats": ["paragraph_count", "paragraph_min", "paragraph_max", "paragraph_median", "paragraph_long", "paragraph_status"],
+    "intro_answer_first": ["intro", "intro_words", "intro_defines", "answer_status"], "freshness_dates": ["published", "reviewed", "fresh_status"], "link_quality_md": ["external", "internal", "sources_section", "link_status"],
+    "acronyms_unexplained": ["acr_unexplained", "acr2_unexplained"], "score_v1": ["v1_structure", "v1_statistics", "v1_quotations", "v1_citations", "v1_clarity", "v1_total"],
+}.items():
+    projection(_name, markdown, MARKDOWN_FROM, EVERYTHING, ["doc_id", *_keep])
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.size(F.expr(r"regexp_extract_all(text, r'\w+', 0)")).cast("bigint").alias("words"))
+    return _QUERIES["score_v2_dims"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
