@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.layers import Layer, apply, check_sql
-from ..operators import scoring
-from .corpora import MARKDOWN, MARKDOWN_FROM, PATH
+from ..functions.order import positions
+from ..operators import crawl, jsonld, robots, scoring, site, technical
+from ..operators import scalar as S
+from .corpora import MARKDOWN, MARKDOWN_FROM, PAGE_HEAD, PAGES_FROM, PATH, ROBOTS, ROBOTS_FROM
 
 TABLES = ("documents", "pages", "labels", "conversations", "benchmark")
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +30,19 @@ def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").selectExpr("doc_id", f"{PATH} AS path", f"{MARKDOWN} AS content")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with the derived head elements: (page_id, url, html, head)."""
+    return table(spark, sf_dir, "pages").where("page_id IS NOT NULL").selectExpr("page_id", "url", "html", f"{PAGE_HEAD} AS head")
+
+
+#: An edit of every page, for before/after diffs.
+EDITED = "CASE WHEN doc_id % 2 = 0 THEN content || 'Source: https://example.org' ELSE replace(content, 'according to', 'as per') END"
+
+
 def projection(name: str, source: Callable[[SparkSession, str], DataFrame], sql_from: str, layers: list[Layer], keep: list[str]) -> None:
     """Register a query that only projects, in both engines from one definition."""
     _QUERIES[name] = lambda spark, d: apply(source(spark, d), layers, keep)
@@ -46,6 +63,156 @@ for _name, _keep in {
     projection(_name, markdown, MARKDOWN_FROM, EVERYTHING, ["doc_id", *_keep])
 
 
+projection(
+    "tech_audit", pages, PAGES_FROM, technical.audit(),
+    ["page_id", "title_count", "title_empty", "canonical_count", "canonical_conflict", "canonical_absolute", "unknown_directives", "directive_conflict", "noindex", "h1_count", "level_skips", "bad_languages", "repeated_languages",
+     "relative_alternates", "link_count", "bad_links", "block_count", "visible_words", "app_shell", "f_title", "f_visible_main_text", "f_canonical", "f_meta_robots", "f_heading_order", "f_language_alternates", "f_internal_links", "f_empty_app_shell"],
+)
+projection("word_counts", documents, "documents", [lambda d: {"words": T.words(d, "text"), "blank_words": T.blank_words(d, "text")}], ["doc_id", "words", "blank_words"])
+projection("strip_preprocess", markdown, MARKDOWN_FROM, [lambda d: {"body": T.body(d, "content"), "pre": T.preprocessed(d, "content")}], ["doc_id", "body", "pre"])
+projection("html_detect", pages, PAGES_FROM, [lambda d: {"html_page": T.is_html(d, "html"), "html_head": T.is_html(d, "head"), "html_url": T.is_html(d, "url")}], ["page_id", "html_page", "html_head", "html_url"])
+projection("visible_text", pages, PAGES_FROM, [lambda d: {"visible": T.visible(d, "html")}], ["page_id", "visible"])
+projection("truncate_desc", documents, "documents", [lambda d: {"description": T.truncated(d, "text")}], ["doc_id", "description"])
+projection("pronoun_density", documents, "documents", [lambda d: {"pronouns": d.count("text", T.PRONOUN), "points": T.density_points(d, "text", 0.02)}], ["doc_id", "pronouns", "points"])
+projection("stats_density_v1", markdown, MARKDOWN_FROM, [lambda d: {"numeric": T.statistics_v1(d, "content"), "verbal": T.verbal(d, "content"), "quotes": T.quotes_v1(d, "content")}], ["doc_id", "numeric", "verbal", "quotes"])
+projection("profile_detect", markdown, MARKDOWN_FROM, [lambda d: {"ext": d.first("lower(path)", r"\.([^./]*)$")}, *scoring.profiles()], ["doc_id", "profile", "confidence"])
+projection(
+    "badge_and_priority", markdown, MARKDOWN_FROM, [lambda d: {"score": "CAST(doc_id * 37 % 101 AS BIGINT)"}, lambda d: {"grade": S.grade("score"), "url": S.badge_url("score"), "priority": S.sitemap_priority("score"), "freq": S.changefreq("CASE WHEN doc_id % 9 = 0 THEN NULL ELSE doc_id END"), "band": S.band("score")}],
+    ["doc_id", "score", "grade", "url", "priority", "freq", "band"],
+)
+projection(
+    "ip_and_hop_policy", pages, PAGES_FROM,
+    [lambda d: {"ip": "CASE WHEN page_id % 10 = 9 THEN CASE page_id % 4 WHEN 0 THEN '::1' WHEN 1 THEN 'fe80::1' WHEN 2 THEN 'fd00::2' ELSE '2606:4700::1' END ELSE CAST(page_id * 7 % 256 AS STRING) || '.' || CAST(page_id * 31 % 256 AS STRING) || '.0.1' END"},
+     lambda d: {"blocked": S.blocked_ip("ip"), "hop": S.hop_allowed(d, "url", "CASE WHEN page_id % 2 = 0 THEN url ELSE 'https://example.org/' END")}],
+    ["page_id", "ip", "blocked", "hop"],
+)
+IGNORES = ["# drafts", "blog/", "!blog/2024/", "*.html", "!/site/docs/**", "/site/docs/index.md", "page ?1.md"]
+projection("ignore_last_match", markdown, MARKDOWN_FROM, [lambda d: {"ignored": crawl.ignored("path", IGNORES, d.has)}], ["doc_id", "path", "ignored"])
+SITEMAP = """CASE WHEN page_id % 10 <> 0 THEN '<?xml version="1.0" encoding="UTF-8"?>' ELSE '' END || '<urlset' || CASE WHEN page_id % 7 <> 0 THEN ' xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"' ELSE '' END || '><url><loc>' || url
+  || '</loc><lastmod>' || CASE WHEN page_id % 3 = 0 THEN '2024-05-01' ELSE 'soon' END || '</lastmod><changefreq>' || CASE WHEN page_id % 4 = 0 THEN 'often' ELSE 'daily' END || '</changefreq><priority>' || CASE WHEN page_id % 5 = 0 THEN '1.5' ELSE '0.8' END
+  || '</priority></url><url><loc>ftp://x/' || CAST(page_id AS STRING) || '</loc></url></urlset>'"""
+projection("sitemap_validate", pages, PAGES_FROM, [lambda d: {"xml": SITEMAP}, lambda d: crawl.sitemap_issues(d, "xml")], ["page_id", "no_declaration", "no_root", "no_namespace", "urls", "bad_urls", "bad_freqs", "bad_priorities", "bad_dates"])
+
+_SCORED = check_sql(MARKDOWN_FROM, EVERYTHING)
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply(markdown(spark, sf_dir), EVERYTHING)
+
+
+def both(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | None) -> None:
+    _QUERIES[name] = query
+    if sql:
+        _SQL[name] = sql
+
+
+both("findings_fact", lambda s, d: site.findings(scored(s, d)), f"{site.findings_sql(_SCORED)} SELECT * FROM f")
+both("findings_dedupe", lambda s, d: site.deduplicated(site.findings(scored(s, d)).withColumn("facts", F.regexp_extract("rule_id", r"([^.]*)$", 1)).withColumn("rule_id", F.regexp_extract("rule_id", r"^([^.]*)", 1)), "facts").select("doc_id", "rule_id", "facts", "ord"),
+     f"{site.findings_sql(_SCORED)} SELECT doc_id, regexp_extract(rule_id, '^([^.]*)', 1) AS rule_id, regexp_extract(rule_id, '([^.]*)$', 1) AS facts, min(ord) AS ord FROM f GROUP BY ALL")
+both("top_findings", lambda s, d: site.top_findings(site.findings(scored(s, d))),
+     f"{site.findings_sql(_SCORED)} SELECT rule_id, occurrences, severity FROM (SELECT rule_id, count(*) AS occurrences, min(doc_id * 100 + ord) AS first, arg_min(severity, doc_id * 100 + ord) AS severity FROM f WHERE severity <> 'pass' GROUP BY rule_id) t ORDER BY occurrences DESC, first LIMIT 10")
+_RECS = " UNION ALL ".join(f"SELECT doc_id, {i} AS ord, '{t}' AS recommendation FROM s WHERE {c}" for i, (c, t) in enumerate(site.RECOMMENDATIONS))
+both("top_recommendations", lambda s, d: site.top_recommendations(site.recommendations(scored(s, d))),
+     f"WITH s AS MATERIALIZED ({_SCORED}), r AS ({_RECS}) SELECT recommendation, documents FROM (SELECT recommendation, count(*) AS documents, min(doc_id * 100 + ord) AS first FROM r GROUP BY recommendation) t ORDER BY documents DESC, first LIMIT 10")
+both("site_summary", lambda s, d: site.summary(scored(s, d)),
+     f"""SELECT count(*) AS total, count(v2_score) AS succeeded, count(*) - count(v2_score) AS failed, floor(avg(v2_score) * 100 + 0.5) / 100 AS average, floor(median(v2_score) * 100 + 0.5) / 100 AS median, min(v2_score) AS lowest, max(v2_score) AS highest,
+     floor(stddev_pop(v2_score) * 100 + 0.5) / 100 AS deviation, count(*) FILTER (v2_score >= 80) AS excellent, count(*) FILTER (v2_score BETWEEN 50 AND 79) AS good, count(*) FILTER (v2_score < 50) AS needs_work FROM ({_SCORED}) t""")
+both("worst_files", lambda s, d: site.worst(scored(s, d).select("doc_id", "path", "v2_score")), f"SELECT doc_id, path, v2_score FROM ({_SCORED}) t ORDER BY v2_score, doc_id LIMIT 5")
+both("findings_diff", lambda s, d: site.diff(site.findings(scored(s, d)), site.findings(apply(markdown(s, d).withColumn("content", F.expr(EDITED)), EVERYTHING))),
+     f"""WITH a AS MATERIALIZED ({check_sql(f"(SELECT doc_id, path, {EDITED} AS content FROM {MARKDOWN_FROM} m)", EVERYTHING)}), b AS MATERIALIZED ({_SCORED}),
+     x AS (SELECT DISTINCT doc_id, rule_id FROM ({site.findings_sql('SELECT * FROM b')} SELECT * FROM f) t WHERE severity IN ('warn', 'fail')),
+     y AS (SELECT DISTINCT doc_id, rule_id FROM ({site.findings_sql('SELECT * FROM a')} SELECT * FROM f) t WHERE severity IN ('warn', 'fail'))
+     SELECT doc_id, rule_id, CASE WHEN y.k IS NULL THEN 'improved' WHEN x.k IS NULL THEN 'regressed' ELSE 'unchanged' END AS change FROM (SELECT *, 1 AS k FROM x) x FULL JOIN (SELECT *, 1 AS k FROM y) y USING (doc_id, rule_id)""")
+both("quality_by_band", lambda s, d: scored(s, d).select("doc_id", "profile", "band", "v2_score").join(table(s, d, "labels").select("doc_id", "quality"), "doc_id").cube("profile", "band").agg(F.count("*").alias("documents"), F.sum("quality").alias("good"), F.grouping_id().alias("level")).select(F.coalesce("profile", F.lit("all")).alias("profile"), F.coalesce("band", F.lit("all")).alias("band"), "documents", "good", "level"),
+     f"SELECT coalesce(profile, 'all') AS profile, coalesce(band, 'all') AS band, count(*) AS documents, CAST(sum(quality) AS BIGINT) AS good, grouping_id(profile, band) AS level FROM ({_SCORED}) t JOIN labels USING (doc_id) GROUP BY CUBE (profile, band)")
+
+# Crawler policy -----------------------------------------------------------------------------------------------------
+_ROBOTS_SQL = f"""
+line AS (SELECT page_id, unnest(range(len(string_split(content, chr(10))))) AS line, unnest(string_split(content, chr(10))) AS raw FROM {ROBOTS_FROM} r),
+said AS (SELECT page_id, line, regexp_replace(regexp_replace(raw, '#.*', ''), '^\\s+|\\s+$', '', 'g') AS s, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') = '' AS blank FROM line),
+kind AS (SELECT page_id, line, CASE WHEN blank THEN 'blank' WHEN regexp_matches(s, '(?i)^user-agent:.*[^\\s,:]') AND len(list_filter(string_split(regexp_extract(s, '(?i)^user-agent:\\s*(.+)$', 1), ','), lambda t: trim(t) <> '')) > 0 THEN 'agent'
+  WHEN regexp_matches(s, '(?i)^(allow|disallow):') THEN lower(regexp_extract(s, '(?i)^(allow|disallow):', 1)) END AS kind, regexp_extract(s, '^[^:]*:\\s*(.*)$', 1) AS value FROM said),
+grp AS (SELECT *, sum(CASE WHEN kind = 'agent' AND coalesce(prev, '') <> 'agent' THEN 1 ELSE 0 END) OVER w AS grp, coalesce(max(CASE WHEN kind = 'agent' THEN line END) OVER w, -1) > coalesce(max(CASE WHEN kind = 'blank' THEN line END) OVER w, -1) AS open
+  FROM (SELECT *, lag(kind) OVER (PARTITION BY page_id ORDER BY line) AS prev FROM kind WHERE kind IS NOT NULL) t WINDOW w AS (PARTITION BY page_id ORDER BY line)),
+rules AS (SELECT page_id, line, grp, kind, value FROM grp WHERE kind <> 'blank' AND open),
+agent AS (SELECT page_id, grp, trim(unnest(string_split(value, ','))) AS agent FROM rules WHERE kind = 'agent'),
+crawler AS (SELECT * FROM {robots.CRAWLERS_SQL}),
+best AS (SELECT page_id, token, grp, max(length(agent)) AS n FROM agent JOIN crawler ON agent = '*' OR contains(lower(token), lower(agent)) WHERE agent <> '' GROUP BY ALL),
+chosen AS (SELECT page_id, token, grp FROM (SELECT *, rank() OVER (PARTITION BY page_id, token ORDER BY n DESC) AS r FROM best) t WHERE r = 1),
+asked AS (SELECT page_id, unnest(['/', '/private/open', '/private/x', '/p/a.pdf?x=1']) AS path FROM pages),
+rule AS (SELECT page_id, grp, line, kind, value AS rule, '^' || regexp_replace(replace(regexp_replace(value, '([.+?^${{}}()|\\[\\]\\\\])', '\\\\\\1', 'g'), '*', '.*'), '\\\\\\$$', '$') AS pattern FROM rules WHERE kind <> 'agent' AND value <> ''),
+hit AS (SELECT c.page_id, c.token, a.path, r.* EXCLUDE (page_id, grp) FROM chosen c JOIN rule r USING (page_id, grp) JOIN asked a USING (page_id) WHERE regexp_matches(a.path, r.pattern)),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id, token, path ORDER BY length(rule) DESC, kind = 'allow' DESC, CASE WHEN kind = 'allow' THEN -line ELSE line END) AS k FROM hit) t WHERE k = 1)"""
+_PATHS = ["/", "/private/open", "/private/x", "/p/a.pdf?x=1"]
+
+
+def robots_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").where("page_id IS NOT NULL").selectExpr("page_id", f"{ROBOTS} AS content")
+
+
+def _robots_effective(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = robots.rules(robots_files(spark, sf_dir), "page_id")
+    asked = table(spark, sf_dir, "pages").where("page_id IS NOT NULL").select("page_id", F.explode(F.array(*map(F.lit, _PATHS))).alias("path"))
+    return robots.verdicts(parsed, robots.selected(parsed, robots.crawlers(spark), "page_id"), asked, "page_id")
+
+
+both("robots_parse", lambda s, d: robots.rules(robots_files(s, d), "page_id").select("page_id", F.col("line").cast("bigint").alias("line"), "grp", "kind", "value"), f"WITH {_ROBOTS_SQL} SELECT page_id, line, CAST(grp AS BIGINT) AS grp, kind, value FROM rules")
+both("robots_effective", _robots_effective, f"WITH {_ROBOTS_SQL} SELECT c.page_id, c.token, c.path, coalesce(top.kind = 'allow', true) AS allowed, coalesce(top.rule, '') AS rule FROM (SELECT DISTINCT page_id, token, path FROM chosen JOIN asked USING (page_id)) c LEFT JOIN top USING (page_id, token, path)")
+
+# Link indexes and sitemaps ------------------------------------------------------------------------------------------
+LLMS = """'# Site ' || source || chr(10) || string_agg(CASE WHEN doc_id % 7 = 0 THEN '## Part ' || CAST(doc_id % 21 AS STRING) || chr(10) WHEN doc_id % 11 = 0 THEN '## Optional' || chr(10) ELSE '' END
+  || '- [Page ' || CAST(doc_id AS STRING) || '](' || CASE WHEN doc_id % 13 = 0 THEN 'ftp://x/' WHEN doc_id % 5 = 0 THEN '/admin/' ELSE 'https://example.org/' END || CAST(doc_id % 40 AS STRING) || ')' || CASE WHEN doc_id % 2 = 0 THEN ': text' ELSE '' END, chr(10) ORDER BY doc_id)"""
+
+
+def llms_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "documents").where("source IS NOT NULL AND doc_id IS NOT NULL").createOrReplaceTempView("corvane_llms")
+    return spark.sql("SELECT source, " + LLMS.replace("string_agg(", "listagg(").replace(", chr(10) ORDER BY doc_id)", ", '\n') WITHIN GROUP (ORDER BY doc_id)") + " AS content FROM corvane_llms GROUP BY source")
+
+
+_ENTRIES_SQL = f"""
+file AS (SELECT source, {LLMS} AS content FROM documents WHERE source IS NOT NULL AND doc_id IS NOT NULL GROUP BY source),
+line AS (SELECT source, unnest(range(len(string_split(content, chr(10))))) AS line, unnest(string_split(content, chr(10))) AS s FROM file),
+sect AS (SELECT *, last_value(CASE WHEN regexp_matches(s, '^##\\s+.+$') THEN trim(regexp_extract(s, '^##\\s+(.+)$', 1)) END IGNORE NULLS) OVER (PARTITION BY source ORDER BY line ROWS UNBOUNDED PRECEDING) AS section FROM line),
+entry AS (SELECT source, line, trim(regexp_extract(s, '^\\s*-\\s+\\[([^\\]]+)\\]\\(([^)]+)\\)', 1)) AS title, trim(regexp_extract(s, '^\\s*-\\s+\\[([^\\]]+)\\]\\(([^)]+)\\)', 2)) AS url, coalesce(section, 'Pages') AS section, coalesce(lower(section) = 'optional', false) AS optional
+  FROM sect WHERE regexp_matches(s, '^\\s*-\\s+\\[[^\\]]+\\]\\([^)]+\\)'))"""
+both("llms_entries", lambda s, d: crawl.llms_entries(llms_files(s, d), "source"), f"WITH {_ENTRIES_SQL} SELECT * FROM entry")
+both("llms_warnings", lambda s, d: crawl.llms_warnings(crawl.llms_entries(llms_files(s, d), "source"), "source"),
+     f"""WITH {_ENTRIES_SQL} SELECT source, line, url, regexp_matches(url, '(?i)^[a-z][a-z0-9+.-]*:') AND NOT regexp_matches(url, '(?i)^https?:') AS odd_scheme, row_number() OVER (PARTITION BY source, url ORDER BY line) > 1 AS duplicate,
+     regexp_matches(CASE WHEN regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1) ELSE url END, '/admin\\b|/private\\b|/internal\\b|/\\.|/_') AS private FROM entry""")
+both("llms_packing", lambda s, d: crawl.packed(table(s, d, "documents").where("source IS NOT NULL AND doc_id IS NOT NULL").select("source", "doc_id", F.length("text").alias("n")), "source", "doc_id", "n", 20_000),
+     """WITH RECURSIVE p AS (SELECT source, doc_id, length(text) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE source IS NOT NULL AND doc_id IS NOT NULL),
+     f AS (SELECT source, doc_id, k, n AS used, CAST(0 AS BIGINT) AS file FROM p WHERE k = 1 UNION ALL
+       SELECT p.source, p.doc_id, p.k, CASE WHEN f.used + p.n > 20000 THEN p.n ELSE f.used + p.n END, CASE WHEN f.used + p.n > 20000 THEN f.file + 1 ELSE f.file END FROM f JOIN p ON p.source = f.source AND p.k = f.k + 1)
+     SELECT source, doc_id, file FROM f""")
+both("llms_coverage_anti", lambda s, d: crawl.uncovered(markdown(s, d).select("doc_id", F.expr("regexp_replace(path, '[.](md|html)$', '')").alias("path")), markdown(s, d).where("doc_id % 3 <> 0").selectExpr("'https://example.org/' || regexp_replace(path, '[.](md|html)$', '') || '/' AS url")),
+     f"""SELECT doc_id, p AS path FROM (SELECT doc_id, regexp_replace(path, '[.](md|html)$', '') AS p FROM {MARKDOWN_FROM} m) a WHERE p NOT IN (SELECT regexp_replace(path, '[.](md|html)$', '') FROM {MARKDOWN_FROM} m WHERE doc_id % 3 <> 0)""")
+both("page_url_build", lambda s, d: markdown(s, d).select("doc_id", F.expr(crawl.page_url("path", "https://example.org/", "site")).alias("url")),
+     rf"""SELECT doc_id, 'https://example.org/' || replace(CASE WHEN b = '' OR b LIKE '%/' THEN b ELSE b || '/' END, ' ', '%20') AS url FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(path, '^site/', ''), '\.[^./]*$', ''), '(^|/)index$', '\1') AS b FROM {MARKDOWN_FROM} m) t""")
+both("sitemap_chunks", lambda s, d: crawl.chunked(table(s, d, "pages").where("page_id IS NOT NULL").select("page_id", "url"), "page_id", 60).groupBy("chunk").agg(F.count("*").alias("urls"), F.min("url").alias("first"), F.max("url").alias("last")),
+     "SELECT chunk, count(*) AS urls, min(url) AS first, max(url) AS last FROM (SELECT url, CAST(floor((row_number() OVER (ORDER BY page_id) - 1) / 60) AS BIGINT) AS chunk FROM pages WHERE page_id IS NOT NULL) t GROUP BY chunk")
+both("url_cap_distinct", lambda s, d: (lambda p: positions(p, "first").where("position < 40").select("host", "first", "position"))(table(s, d, "pages").groupBy(F.regexp_extract("url", r"^https?://([^/]*)", 1).alias("host")).agg(F.min("page_id").alias("first"))),
+     "SELECT host, first, row_number() OVER (ORDER BY first) - 1 AS position FROM (SELECT regexp_extract(url, '^https?://([^/]*)', 1) AS host, min(page_id) AS first FROM pages GROUP BY 1) t QUALIFY row_number() OVER (ORDER BY first) <= 40")
+
+# Structured data ----------------------------------------------------------------------------------------------------
+_BLOCKS_SQL = f"block AS (SELECT page_id, unnest(regexp_extract_all(head, {technical.JSON_LD!r}, 1)) AS json FROM {PAGES_FROM} p)".replace("\\\\", "\\")
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).select("page_id", F.explode(F.expr(f"regexp_extract_all(head, r'{technical.JSON_LD}', 1)")).alias("json"))
+
+
+both("jsonld_blocks", lambda s, d: jsonld.judged(_blocks(s, d)).select("page_id", "valid", "type", "known", "context_ok"),
+     f"""WITH {_BLOCKS_SQL}, v AS (SELECT page_id, json_valid(json) AS valid, CASE WHEN json_valid(json) THEN json END AS j FROM block)
+     SELECT page_id, valid, coalesce(json_extract_string(j, '$."@type"'), '') AS type, coalesce(json_extract_string(j, '$."@type"'), '') IN (SELECT type FROM {technical.required_sql()}) AS known, coalesce(json_extract_string(j, '$."@context"') = 'https://schema.org', false) AS context_ok FROM v""")
+both("required_fields_anti", lambda s, d: jsonld.missing_fields(_blocks(s, d)).select("page_id", "type", "field"),
+     f"""WITH {_BLOCKS_SQL}, v AS (SELECT page_id, json, json_extract_string(json, '$."@type"') AS type FROM block WHERE json_valid(json))
+     SELECT page_id, v.type, field FROM v JOIN {technical.required_sql()} ON v.type = required.type WHERE coalesce(json_extract_string(json, '$."' || field || '"'), '') = ''""")
+both("resolved_links", lambda s, d: pages(s, d).select("page_id", F.posexplode(F.expr(f"regexp_extract_all(html, r'{technical.LINK_TAG}', 1)")).alias("ord", "href"), "url").select("page_id", F.col("ord").cast("bigint").alias("ord"), "href", F.expr(technical.resolved("href", "url")).alias("resolved")),
+     rf"""SELECT page_id, ord, href, CASE WHEN regexp_matches(href, '(?i)^[a-z][a-z0-9+.-]*:|^#') THEN href WHEN href LIKE '//%' THEN regexp_extract(url, '^(https?:)', 1) || href WHEN href LIKE '/%' THEN regexp_extract(url, '^(https?://[^/?#]*)', 1) || href
+     ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '([^/])/[^/]*$', '\1/') || href END AS resolved
+     FROM (SELECT page_id, url, unnest(h) AS href, unnest(range(len(h))) AS ord FROM (SELECT page_id, url, regexp_extract_all(html, {technical.LINK_TAG!r}, 1) AS h FROM pages) t) u""".replace("\\\\", "\\"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _QUERIES["score_v2_dims"](spark, sf_dir)
 
