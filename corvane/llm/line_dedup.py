@@ -106,14 +106,14 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with repeated runs deleted from text and a column lines_removed (or, if that is taken, under the next free name)."""
-    counted = _free(docs, "lines_removed")
-    gone = deleted_lines(docs, min_words).select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), F.col("gone").alias("__g"))
-    on = docs["doc_id"].cast("bigint").eqNullSafe(gone["__d"]) & (F.xxhash64(docs["text"]) == gone["__t"])
+    counted, d, t, g, l_ = (_free(docs, x) for x in ("lines_removed", "__d", "__t", "__g", "__l"))
+    gone = deleted_lines(docs, min_words).select(F.col("doc_id").alias(d), F.col("th").alias(t), F.col("gone").alias(g))
+    on = docs["doc_id"].cast("bigint").eqNullSafe(gone[d]) & (F.xxhash64(docs["text"]) == gone[t])
     joined = docs.join(gone.hint("shuffle_hash"), on, "left")
-    cut = joined.withColumn("__l", F.when(F.col("__g").isNotNull(), F.split("text", "\n")))
-    rest = F.expr("array_join(transform(array_except(sequence(0, size(__l) - 1), __g), i -> __l[i]), '\\n')")
-    text = F.when(F.col("__g").isNull(), F.col("text")).otherwise(F.when(F.regexp_replace(rest, r"[ \t\r\n]+", "") == "", F.lit("")).otherwise(rest))
-    return cut.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], F.when(F.col("__g").isNull(), F.lit(0)).otherwise(F.size("__g")).cast("bigint").alias(counted))
+    cut = joined.withColumn(l_, F.when(F.col(g).isNotNull(), F.split("text", "\n")))
+    rest = F.expr(f"array_join(transform(array_except(sequence(0, size({l_}) - 1), {g}), i -> {l_}[i]), '\\n')")
+    text = F.when(F.col(g).isNull(), F.col("text")).otherwise(F.when(F.regexp_replace(rest, r"[ \t\r\n]+", "") == "", F.lit("")).otherwise(rest))
+    return cut.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.when(F.col(g).isNull(), F.lit(0)).otherwise(F.size(g)).cast("bigint").alias(counted))
 
 
 def _free(df: DataFrame, name: str) -> str:

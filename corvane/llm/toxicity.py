@@ -75,10 +75,11 @@ def units(column: pa.Array) -> Units:
     s, e, doc = spans(raw, offsets, _INK)
     size = e - s
     new = np.ones(len(s), bool)
+    own = _LETTER[raw[_INK[raw]]]
     if len(s):
-        new[1:] = ~((size[1:] == 1) & (size[:-1] == 1) & (doc[1:] == doc[:-1]) & (s[1:] - e[:-1] == 1))
+        single = np.add.reduceat((own > 0).astype(np.int64), np.cumsum(size) - size) == 1
+        new[1:] = ~(single[1:] & single[:-1] & (doc[1:] == doc[:-1]) & (s[1:] - e[:-1] == 1))
     first = np.flatnonzero(new)
-    own = _LETTER[raw[_INK[raw]]]
     unit = np.repeat(np.cumsum(new) - 1, size)
     lettered = np.flatnonzero(own > 0)  # what stands before a unit's first letter and after its last is not part of it
     low, high = np.full(len(first), len(own)), np.full(len(first), -1)
