@@ -116,8 +116,8 @@ def density_points(d: Spark, t: str, limit: float, most: int = 15) -> str:
 
 
 def spanish_syllables(word: str) -> int:
-    """Syllables of a Spanish word: a group of vowels is one, except that two open vowels, an accented closed one or a
-    repeated vowel part it."""
+    """Syllables of a Spanish word: two vowels are one unless both are open, one is closed with an accent, or they are equal;
+    of three in a row the last two decide whether the third is taken too."""
     vowels, strong, accented = "aeiouáéíóúü", "aeoáéó", "íú"
     n, i = 0, 0
 
@@ -135,8 +135,7 @@ def spanish_syllables(word: str) -> int:
         if not second:
             i += 1
         elif third:
-            a, b = parted(group[0], group[1]), parted(group[1], group[2])
-            i += (2 if b else 3) if a and not (a and b) else 2 if (a and b) or b else 3
+            i += 2 if parted(group[1], group[2]) else 3
         else:
             i += 1 if parted(group[0], group[1]) else 2
     return max(1, n)

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.layers import Layer, apply, check_sql
 from ..functions.order import positions
-from ..operators import crawl, jsonld, robots, scoring, site, technical
+from ..operators import crawl, evidence, jsonld, robots, scoring, site, technical
 from ..operators import scalar as S
+from ..sources import files, parsers
 from .corpora import MARKDOWN, MARKDOWN_FROM, PAGE_HEAD, PAGES_FROM, PATH, ROBOTS, ROBOTS_FROM
 
 TABLES = ("documents", "pages", "labels", "conversations", "benchmark")
@@ -213,6 +214,26 @@ both("resolved_links", lambda s, d: pages(s, d).select("page_id", F.posexplode(F
      FROM (SELECT page_id, url, unnest(h) AS href, unnest(range(len(h))) AS ord FROM (SELECT page_id, url, regexp_extract_all(html, {technical.LINK_TAG!r}, 1) AS h FROM pages) t) u""".replace("\\\\", "\\"))
 
 
+# Evidence, generated files, parsers ------------------------------------------------------------------------------------
+_REFS = "CASE WHEN doc_id % 3 = 0 THEN 'geo-kdd-2024' WHEN doc_id % 3 = 1 THEN 'nowhere' ELSE 'google-hreflang-2025' END"
+both("source_refs_anti", lambda s, d: evidence.missing_refs(documents(s, d).select("doc_id", F.array(F.expr(_REFS), F.lit("google-ai-guide-2025")).alias("source_refs")), "doc_id"),
+     f"SELECT doc_id, ref FROM (SELECT DISTINCT doc_id, unnest([{_REFS}, 'google-ai-guide-2025']) AS ref FROM documents) t WHERE ref NOT IN (SELECT id FROM {evidence.EVIDENCE_SQL})")
+both("stale_evidence", lambda s, d: evidence.stale(s, "2027-01-15"), f"SELECT id, date_diff('day', verified, DATE '2027-01-15') AS age FROM {evidence.EVIDENCE_SQL} WHERE date_diff('day', verified, DATE '2027-01-15') > 180")
+_XML = crawl.xml_escaped("url")
+both("sitemap_render", lambda s, d: files.sitemap_file(table(s, d, "pages").where("page_id IS NOT NULL").selectExpr("page_id", "CAST(page_id % 3 AS BIGINT) AS part", "url || '?a=1&b=<x>' AS loc", "'2024-05-01' AS lastmod", "'weekly' AS changefreq", "0.5e0 AS priority"), "part", "page_id"),
+     f"""SELECT CAST(page_id % 3 AS BIGINT) AS part, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">' || chr(10) || string_agg('  <url><loc>' || {crawl.xml_escaped("(url || '?a=1&b=<x>')")} ||
+     '</loc><lastmod>2024-05-01</lastmod><changefreq>weekly</changefreq><priority>0.5</priority></url>', chr(10) ORDER BY page_id) || chr(10) || '</urlset>' || chr(10) AS xml FROM pages WHERE page_id IS NOT NULL GROUP BY 1""")
+both("llms_generate", lambda s, d: files.llms_file(documents(s, d).where("source IS NOT NULL AND doc_id IS NOT NULL").selectExpr("doc_id", "source", "'Page [' || CAST(doc_id AS STRING) || ']' AS title", "'https://example.org/' || CAST(doc_id AS STRING) AS url", "CASE WHEN doc_id % 2 = 0 THEN 'text' END AS description", "CASE doc_id % 3 WHEN 0 THEN 'Optional' WHEN 1 THEN 'Blog' ELSE 'Docs' END AS section"), "source", "doc_id"),
+     """WITH l AS (SELECT source, CASE doc_id % 3 WHEN 0 THEN 'Optional' WHEN 1 THEN 'Blog' ELSE 'Docs' END AS section, min(doc_id) AS f, string_agg('- [Page \\[' || CAST(doc_id AS VARCHAR) || '\\]](https://example.org/' || CAST(doc_id AS VARCHAR) || ')' || CASE WHEN doc_id % 2 = 0 THEN ': text' ELSE '' END, chr(10) ORDER BY doc_id) AS x
+       FROM documents WHERE source IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1, 2)
+     SELECT source, '# ' || source || chr(10) || chr(10) || string_agg('## ' || section || chr(10) || chr(10) || x || chr(10), chr(10) ORDER BY CASE WHEN section = 'Optional' THEN 1 ELSE 0 END, f) AS content FROM l GROUP BY source""")
+# Parsers have no SQL: tests hold them against cases.
+both("html_dom", lambda s, d: parsers.dom(pages(s, d), "page_id").select("page_id", "seq", "parent", "depth", "tag", "text"), None)
+both("md_tokens", lambda s, d: parsers.tokens(markdown(s, d), "doc_id"), None)
+both("frontmatter", lambda s, d: parsers.frontmatter(markdown(s, d), "doc_id"), None)
+both("readability", lambda s, d: parsers.readability(documents(s, d), "doc_id"), None)
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _QUERIES["score_v2_dims"](spark, sf_dir)
 
