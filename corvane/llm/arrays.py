@@ -97,9 +97,17 @@ def spans(raw: np.ndarray, offsets: np.ndarray, is_in: np.ndarray = WORD_BYTE) -
 
 def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span's bytes. Spans don't overlap and are in order."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
     length = end - start
+    out, ends = np.zeros(len(start), np.uint64), np.cumsum(length)
+    i = 0
+    while i < len(start):  # in blocks of about half a megabyte: eight bytes are needed several times for each byte
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + (1 << 19), "right")))
+        out[i:j] = _span_hashes(raw, start[i:j], length[i:j])
+        i = j
+    return out
+
+
+def _span_hashes(raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     ends = np.cumsum(length)
     at = np.arange(ends[-1], dtype=np.int64)
     begin = ends - length
