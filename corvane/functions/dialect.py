@@ -18,7 +18,7 @@ class Spark:
         if p == r"\b":
             return f"r'{_EDGE}'"
         # A boundary before something that begins with a word character needs to look back only, any other one ahead only.
-        p = re.sub(r"\\b(?=\\d|\(\?:|\[A-Z|[A-Za-z])", "(?<![0-9A-Za-z_])", p)
+        p = re.sub(r"\\b(?=\\d|\(\?:|\(?\[A-Z|\(\[0-9|[A-Za-z])", "(?<![0-9A-Za-z_])", p)
         return "r'" + p.replace(r"\b", "(?![0-9A-Za-z_])") + "'"
 
     def count(self, t: str, p: str) -> str:

@@ -211,18 +211,24 @@ def acronyms(name: str, t: str, known: dict[str, str] | None = None) -> list[Lay
         all_ = d.distinct(d.every(d.sub(t, r"(?m)^##+[^\n]*$"), r"\b[A-Z]{2,}\b"))
         return {f"{name}_all": d.filter(all_, "a", f"a NOT IN ({', '.join(map(repr, STOP))})")}
 
+    def beside(d: Spark) -> dict[str, str]:
+        # Words next to parentheses, found in one pass for all acronyms: before one (up to the last closed one), or after one.
+        closed = d.first(t, r"^([\s\S]*\))")
+        before, after = d.every(closed, r"\b([0-9A-Za-z]+)[\s*_~]*\([^)]", 1), d.every(t, r"\([^)]+\)[\s*_~]*([0-9A-Za-z_]+)", 1)
+        both = f"concat({before}, {after})" if type(d) is Spark else f"list_concat({before}, {after})"
+        return {f"{name}_beside": d.map(both, "w", "upper(w)")}
+
     def judged(d: Spark) -> dict[str, str]:
-        edge = d.rx(r"\b")[2:-1] if type(d) is Spark else r"\b"
-        q = "r" if type(d) is Spark else ""
-        near = lambda least: f"concat({q}'(?i){edge}', a, {q}'[\\s*_~]*\\([^)]{least}\\)|\\([^)]{least}\\)[\\s*_~]*', a, {q}'{edge}')"
-        match = lambda p: f"({t} RLIKE {p})" if type(d) is Spark else f"regexp_matches({t}, {p})"
-        other = f"length(a) > 2 AND NOT {match(near('+'))}"
-        cases = "".join(
-            f"WHEN a = '{acr}' THEN NOT {d.has(t, rf'(?i)\b{acr}\b[\s\S]{{0,{max(0, 120 - len(acr) - len(full))}}}{full}|{full}[\s\S]{{0,{max(0, 120 - len(full))}}}\b{acr}\b')} AND NOT {match(near('{10,}'))} " for acr, full in known.items()
-        )
+        inside = f"array_contains({name}_beside, a)" if type(d) is Spark else f"list_contains({name}_beside, a)"
+        other = f"length(a) > 2 AND NOT {inside}"
+        cases = ""
+        for acr, full in known.items():
+            near = rf"(?i)\b{acr}\b[\s\S]{{0,{max(0, 120 - len(acr) - len(full))}}}{full}|{full}[\s\S]{{0,{max(0, 120 - len(full))}}}\b{acr}\b"
+            adjacent = rf"(?i)\b{acr}[\s*_~]*\([^)]{{10,}}\)|\([^)]{{10,}}\)[\s*_~]*{acr}\b"
+            cases += f"WHEN a = '{acr}' THEN NOT {d.has(t, near)} AND NOT {d.has(t, adjacent)} "
         return {f"{name}_unexplained": d.size(d.filter(f"{name}_all", "a", f"CASE {cases}ELSE {other} END" if cases else other))}
 
-    return [found, judged]
+    return [found, beside, judged]
 
 
 def v1(t: str = "text", content: str = "content", limit: float = 0.02) -> list[Layer]:
