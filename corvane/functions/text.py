@@ -5,23 +5,40 @@ from __future__ import annotations
 from .dialect import Spark
 
 FRONTMATTER = r"^\x{FEFF}?---[\t ]*\r?\n(?:[\s\S]*?\r?\n)?(?:---|\.\.\.)[\t ]*(?:\r?\n|$)"
-STRUCTURAL_TAG = r"(?i)<(?:head|body|meta|link|script|style|div|span|p|a|img|table|ul|ol|li|h[1-6]|header|footer|main|nav|section|article)[\s>]"
-STATISTIC_V1 = r"\b\d+(?:\.\d+)?%|\$\d+(?:\.\d+)?[kKmMbB]?|\b\d+(?:\.\d+)?[xX]\b|\b\d{2,}(?:,\d{3})*(?:\.\d+)?\b"
-STATISTIC = r"\b\d+(?:\.\d+)?%|\$\d+(?:\.\d+)?[kKmMbB]?|\b\d{2,}(?:,\d{3})*(?:\.\d+)?\b"
-_N10, _N2 = "one|two|three|four|five|six|seven|eight|nine|ten", "two|three|four|five|six|seven|eight|nine|ten"
+
+
+def any_of(*phrases: str, space: str = r"\s*") -> str:
+    """A group that matches any of the phrases, with any white space in place of theirs."""
+    return "(?:" + "|".join(space.join(p.split(" ")) for p in phrases) + ")"
+
+
+def any_word(listed: str) -> str:
+    return any_of(*listed.split())
+
+
+_TAGS = "a p div span section article nav main footer header ul ol li table img h[1-6] style script link meta body head"
+STRUCTURAL_TAG = rf"(?i)<{any_word(_TAGS)}[\s>]"
+_NUMBER, _GROUPED = r"\d+(?:\.\d+)?", r"\d\d+(?:,\d{3})*(?:\.\d+)?"
+_MONEY = rf"\${_NUMBER}[kKmMbB]?"
+STATISTIC = "|".join((rf"\b{_NUMBER}%", _MONEY, rf"\b{_GROUPED}\b"))
+STATISTIC_V1 = "|".join((rf"\b{_NUMBER}%", _MONEY, rf"\b{_NUMBER}[xX]\b", rf"\b{_GROUPED}\b"))
+_COUNTS = "one two three four five six seven eight nine ten".split()
+_TEN, _FIVE, _FROM_TWO = (any_of(*x) for x in (_COUNTS, _COUNTS[:5], _COUNTS[1:]))
+_PARTS = any_word("third quarter fifth sixth seventh eighth ninth tenth")
+_OF = any_of("out of", "in")
 VERBAL = (
-    rf"(?i)\b(?:{_N10})\s*(?:-|\x{{2014}})\s*(?:third|quarter|fifth|sixth|seventh|eighth|ninth|tenth)s?\b",
-    r"(?i)\b(?:one|two|three|four|five)\s*-?\s*(?:third|quarter|fifth)s?\b",
-    r"(?i)\b\d+\s*(?:out\s*of|in)\s*\d+\b",
-    rf"(?i)\b(?:{_N10})\s*(?:out\s*of|in)\s*(?:{_N2})\b",
-    r"(?i)\b(?:double|triple|quadruple|half|twice)\b",
-    r"(?i)\b(?:majority|minority|plurality)\b",
+    rf"(?i)\b{_TEN}\s*(?:-|\x{{2014}})\s*{_PARTS}s?\b",
+    rf"(?i)\b{_FIVE}\s*-?\s*{any_word('third quarter fifth')}s?\b",
+    rf"(?i)\b\d+\s*{_OF}\s*\d+\b",
+    rf"(?i)\b{_TEN}\s*{_OF}\s*{_FROM_TWO}\b",
+    rf"(?i)\b{any_word('half double twice triple quadruple')}\b",
+    rf"(?i)\b{any_word('plurality minority majority')}\b",
 )
-PRONOUN = r"(?i)\b(?:it|they|them|this|these|those)\b"
-DEFINITIONS = (" is a ", " is an ", " refers to ", " represents ", " is the strategic ")
-_DATE = r"(\d{4}-\d{2}-\d{2}|\w+\s+\d{1,2},?\s*\d{4})"
-PUBLISHED = rf"(?i)(?:published|posted|date)\s*:?\s*{_DATE}"
-REVIEWED = rf"(?i)(?:last\s*(?:updated|reviewed|modified))\s*:?\s*{_DATE}"
+PRONOUN = rf"(?i)\b{any_word('those these this them they it')}\b"
+DEFINITIONS = tuple(f" {x} " for x in ("represents", "refers to", "is a", "is an", "is the strategic"))
+_DATE = r"(\d{4}(?:-\d\d){2}|\w+\s+\d\d?,?\s*\d{4})"
+PUBLISHED = rf"(?i){any_word('date posted published')}\s*:?\s*{_DATE}"
+REVIEWED = rf"(?i)last\s*{any_word('modified reviewed updated')}\s*:?\s*{_DATE}"
 YEAR = r"^(?:19|20)\d{2}$"
 
 

@@ -5,35 +5,47 @@ from __future__ import annotations
 from ..functions import text as T
 from ..functions.dialect import Spark
 
+_any, _words = T.any_of, T.any_word
+
+
+def _said(*phrases: str) -> str:
+    """Any of the phrases, whole words, in any case."""
+    return rf"(?i)\b{_any(*phrases)}\b"
+
+
+def _has(*phrases: str) -> str:
+    return rf"(?i){_any(*phrases)}"
+
+
 PROFILE_SIGNALS: dict[str, tuple[str, ...]] = {
     "regulated": (
-        r"(?i)privacy\s*policy", r"(?i)terms\s*(?:of|and)\s*(?:service|use|conditions)", r"(?i)forward[-\s]looking\s*statements", r"(?i)securities\s*(?:and|&)\s*exchange\s*commission",
-        r"(?i)securities\s*(?:act|exchange\s*act)", r"(?i)medical\s*review", r"(?i)last\s*reviewed\s*:", r"(?i)data\s*protection\s*officer", r"(?i)gdpr\s*article",
-        r"(?i)standard\s*contractual\s*clauses", r"(?i)subprocessors", r"(?i)legal\s*basis\s*(?:for|:|\x{2014})", r"(?i)retention\s*period", r"(?i)\b(?:earnings\s*report|quarterly\s*report|fiscal\s*(?:year|quarter))\b",
+        _has("privacy policy"), rf"(?i)terms\s*{_words('and of')}\s*{_words('conditions use service')}", r"(?i)forward[-\s]looking\s*statements", rf"(?i)securities\s*{_words('& and')}\s*exchange\s*commission",
+        _has("securities exchange act", "securities act"), _has("medical review"), _has("last reviewed :"), _has("data protection officer"), _has("gdpr article"),
+        _has("standard contractual clauses"), _has("subprocessors"), r"(?i)legal\s*basis\s*(?:\x{2014}|:|for)", _has("retention period"), _said("fiscal quarter", "fiscal year", "quarterly report", "earnings report"),
     ),
     "ecommerce": (
-        r"(?i)\b(?:add\s*to\s*(?:cart|bag|basket)|buy\s*now|shop\s*now)\b", r"\$\d+(?:\.\d{2})?\b", r"(?i)\b(?:verified\s*purchase|verified\s*buyer|verified\s*owner)\b", r"(?i)customer\s*reviews",
-        r"(?i)frequently\s*bought\s*together", r"(?i)shipping\s*(?:&|and)\s*returns", r"(?i)weight\s*capacity",
+        _said(*(f"add to {x}" for x in ("basket", "bag", "cart")), "shop now", "buy now"), r"\$\d+(?:\.\d{2})?\b", _said(*(f"verified {x}" for x in ("owner", "buyer", "purchase"))), _has("customer reviews"),
+        _has("frequently bought together"), _has("shipping and returns", "shipping & returns"), _has("weight capacity"),
     ),
     "documentation": (
-        r"(?i)\b(?:endpoint|api\s*reference|sdk|cli\s*reference|configuration\s*schema)\b", r"```[a-z]*\n[\s\S]*?```", r"(?i)\b(?:authorization|authentication)\s*:",
-        r"(?i)\b(?:response|request)\s*(?:body|headers|code):", r"(?i)base\s*url", r"(?i)rate\s*limit", r"(?i)\b(?:query\s*planner|execution\s*plan|query\s*optimization)\b",
-        r"(?i)\b(?:backward\s*compatibility|regression\s*suite|minor\s*release)\b", r"(?i)\b(?:syntax|deprecated|removed|added|changed|fixed)\s*(?:in|since)\s*(?:v|version)\s*\d", r"(?i)\b(?:return\s*type|parameter|throws|since)\s*:",
+        _said("sdk", "endpoint", "cli reference", "api reference", "configuration schema"), r"```[a-z]*\n[\s\S]*?```", rf"(?i)\b{_words('authentication authorization')}\s*:",
+        rf"(?i)\b{_words('request response')}\s*{_words('code headers body')}:", _has("base url"), _has("rate limit"), _said("query optimization", "execution plan", "query planner"),
+        _said("minor release", "regression suite", "backward compatibility"), rf"(?i)\b{_words('fixed changed added removed deprecated syntax')}\s*{_words('since in')}\s*{_words('version v')}\s*\d", rf"(?i)\b{_any('since', 'throws', 'parameter', 'return type')}\s*:",
     ),
     "open-source": (
-        r"(?i)\b(?:changelog|contributing|architecture\s*decision|license)\b", r"\[!\[[^\n]*\]\([^\n]*\)\]\([^\n]*\)", r"(?i)npm\s+(?:install|i)\s+", r"(?i)pip\s+install\s+", r"(?i)\b(?:contributing\.md|code\s*of\s*conduct)\b",
-        r"(?i)\b(?:conventional\s*commits|commit\s*conventions)\b", r"(?i)\b(?:quickstart|getting\s*started)\b", r"(?i)pull\s*request\s*(?:checklist|process)",
+        _said("license", "changelog", "contributing", "architecture decision"), r"\[!\[[^\n]*\]\([^\n]*\)\]\([^\n]*\)", rf"(?i)npm\s+{_words('install i')}\s+", r"(?i)pip\s+install\s+", _said(r"contributing\.md", "code of conduct"),
+        _said("commit conventions", "conventional commits"), _said("getting started", "quickstart"), _has("pull request process", "pull request checklist"),
     ),
     "commercial": (
-        r"(?i)\b(?:pricing|price|plan|enterprise|pro\s*plan)\b", r"(?i)(?:start\s*free|free\s*trial|no\s*credit\s*card)", r"(?i)\b(?:case\s*study|customer\s*story|testimonial)\b",
-        r"(?i)trusted\s*by", r"(?i)(?:monthly|annual)\s*billing", r"(?i)\b(?:soc\s*2|certified|compliance)\b",
+        _said("pro plan", "plan", "enterprise", "price", "pricing"), _has("no credit card", "free trial", "start free"), _said("testimonial", "customer story", "case study"),
+        _has("trusted by"), _has("annual billing", "monthly billing"), _said("soc 2", "compliance", "certified"),
     ),
     "service": (
-        r"(?i)\b(?:consulting|consultancy|consultor(?:\x{ed}a|es)?|agency|agencia|professional\s*services?|servicios?\s*profesionales?)\b",
-        r"(?i)\b(?:our\s*clients|nuestros?\s*clientes?|client\s*testimonials|testimonios?\s*de\s*clientes?|case\s*stud(?:y|ies)|casos?\s*de\s*\x{e9}?xito)\b",
-        r"(?i)\b(?:contact\s*us|cont\x{e1}ct?anos?|get\s*in\s*touch|schedule\s*a\s*call|agenda\s*una?\s*(?:llamada|reuni\x{f3}n|consulta)|solicit[aa]\s*(?:una\s*)?(?:consulta|demo|llamada|presupuesto))\b",
-        r"(?i)\b(?:strategy|estrategia|consulting\s*services|servicios?\s*de\s*consultor\x{ed}a|digital\s*transformation|transformaci\x{f3}n\s*digital|ofrecemos?\s*servicios)\b",
-        r"(?i)\b(?:portfolio|portafolio|our\s*work|nuestro\s*trabajo|proyectos?)\b",
+        _said("agency", "agencia", "consulting", "consultancy", r"consultor(?:\x{ed}a|es)?", "professional services?", "servicios? profesionales?"),
+        _said("our clients", "client testimonials", "nuestros? clientes?", "testimonios? de clientes?", "case stud(?:y|ies)", r"casos? de \x{e9}?xito"),
+        _said("get in touch", "contact us", "schedule a call", r"cont\x{e1}ct?anos?", *(f"agenda una? {x}" for x in ("llamada", r"reuni\x{f3}n", "consulta")), *(rf"solicita (?:una\s*)?{x}" for x in ("consulta", "demo", "llamada", "presupuesto"))),
+        _said("strategy", "estrategia", "digital transformation", r"transformaci\x{f3}n digital", "consulting services", r"servicios? de consultor\x{ed}a", "ofrecemos? servicios"),
+        _said("our work", "nuestro trabajo", "portfolio", "portafolio", "proyectos?"),
     ),
 }
 
@@ -107,7 +119,7 @@ def v1_text_scores(d: Spark, t: str) -> dict[str, str]:
         "stat_count": stats,
         "quote_count": T.quotes_v1(d, t),
         "link_count": T.external_links(d, t),
-        "has_sources": d.has(t, r"(?i)sources|references|citations|bibliography"),
+        "has_sources": d.has(t, f"(?i){_words('bibliography citations references sources')}"),
     }
 
 

@@ -11,17 +11,22 @@ from ..functions.layers import Layer
 from . import scalar as S
 
 HEADING = r"(?m)^#{1,6}[ \t]+[^\n]*$"
-SOURCE = r"(?i)according\s+to|reported\s+by|published\s+(?:by|in)|\[[\d,\s]*\]|\(\d{4}\)|source:|via\s+|data\s+from|survey\s+by|study\s+(?:by|published)"
+_said = lambda *x: T.any_of(*x, space=r"\s+")
+SOURCE = rf"(?i){_said('data from', 'survey by', 'reported by', 'according to', 'study by', 'study published', 'published in', 'published by')}|via\s+|source:|\(\d{{4}}\)|\[[\d,\s]*\]"
 _DASH = r"[\x{2014}\x{2013}-]"
+_NAME = r"[A-Z][a-z]+"
+_TITLE = T.any_word(r"Ms\. Mrs\. Mr\. Prof\. Dr\.")
+_BODY = T.any_word(r"Survey Study Report LLC Inc\.? Corporation Association Foundation University Institute")
 ATTRIBUTION = (
-    rf"{_DASH}\s*[A-Z][a-z]+\s+[A-Z][a-z]+|{_DASH}\s*(?:Dr\.|Prof\.|Mr\.|Mrs\.|Ms\.)\s+[A-Z][a-z]+|said\s+[A-Z][a-z]+\s+[A-Z][a-z]+|writes?\s+[A-Z][a-z]+\s+[A-Z]",
-    r"(?i)according\s+to\s+[A-Z][a-z]+|told\s+the\s+|(?:according\s+to|reported\s+by|per)\s+(?:the\s+)?[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+(?:Institute|University|Foundation|Association|Corporation|Inc\.?|LLC|Report|Study|Survey)",
+    "|".join((rf"{_DASH}\s*{_NAME}\s+{_NAME}", rf"{_DASH}\s*{_TITLE}\s+{_NAME}", rf"said\s+{_NAME}\s+{_NAME}", rf"writes?\s+{_NAME}\s+[A-Z]")),
+    "(?i)" + "|".join((rf"according\s+to\s+{_NAME}", r"told\s+the\s+", rf"{_said('per', 'reported by', 'according to')}\s+(?:the\s+)?{_NAME}(?:\s+{_NAME})*\s+{_BODY}")),
 )
-IDENTIFIER = r"(?i)v$|\b(?:v|version|versions|port|endpoint|id|ids|api|node|release|build|branch|commit|issue|status|code)\b\s*:?\s*$"
+IDENTIFIER = rf"(?i)v$|\b{T.any_word('code status issue commit branch build release node api ids id endpoint port versions version v')}\b\s*:?\s*$"
 QUOTED_LINE, QUOTED_TEXT = r"(?m)^>\s*[^\n]+$", r"[\x22\x{201C}][^\x22\x{201D}]{15,}[\x22\x{201D}]"
-STOP = ("THE", "AND", "FOR", "BUT", "YOU", "NOT", "YES", "OUT", "OFF", "HOW", "WHY", "OUR", "WHO")
-SEMANTIC = ("article", "main", "header", "footer", "nav", "section")
-KEYWORDS = r"(?i)sources|references|citations|bibliography|further reading"
+STOP = tuple("AND BUT FOR HOW NOT OFF OUR OUT THE WHO WHY YES YOU".split())
+SEMANTIC = tuple("section nav footer header main article".split())
+_LISTS = "bibliography citations references sources".split()
+KEYWORDS = f"(?i){T.any_of(*_LISTS, 'further reading', space=' ')}"
 
 
 def prepared(content: str = "content", path: str = "path") -> list[Layer]:

@@ -6,7 +6,7 @@ from ..functions import text as T
 from ..functions.dialect import Spark
 from ..functions.layers import Layer
 
-ROBOTS_TOKENS = ("all", "none", "index", "noindex", "follow", "nofollow", "nosnippet", "noarchive", "noimageindex", "notranslate", "max-snippet", "max-image-preview", "max-video-preview", "unavailable_after")
+ROBOTS_TOKENS = tuple("index follow all none noindex nofollow noarchive nosnippet notranslate noimageindex unavailable_after max-snippet max-image-preview max-video-preview".split())
 LANGUAGE = r"^(?i:[a-z]{2,3}(?:-[a-z0-9]{2,8})*)$"
 REQUIRED: dict[str, tuple[str, ...]] = {
     **{t: ("headline",) for t in ("Article", "BlogPosting", "TechArticle", "DiscussionForumPosting", "SocialMediaPosting")}, "NewsArticle": ("headline", "datePublished"), "FAQPage": ("mainEntity",), "QAPage": ("mainEntity",), "ItemList": ("itemListElement",),
