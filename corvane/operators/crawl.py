@@ -13,7 +13,7 @@ from ..functions.order import positions
 MAX_URLS = 50_000
 
 
-# Discovery ----------------------------------------------------------------------------------------------------------
+# Discovery
 def ignore_rule(line: str) -> tuple[bool, str] | None:
     """(negated, pattern) of an ignore line, None of a blank or comment. Brackets are literal."""
     rule = line.strip()
@@ -44,7 +44,7 @@ def page_url(path: str, site: str, strip: str = "") -> str:
     return f"'{site.rstrip('/')}/' || {encoded}"
 
 
-# Sitemaps -----------------------------------------------------------------------------------------------------------
+# Sitemaps
 XML = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&apos;"))
 
 
@@ -103,7 +103,7 @@ def crawl(root: list[str], fetch: DataFrame, max_fetches: int = 100, max_urls: i
     return first.orderBy("first").limit(max_urls).select("loc", "first.depth"), {"fetched": fetched, "skipped": skipped}
 
 
-# Link indexes -------------------------------------------------------------------------------------------------------
+# Link indexes
 def llms_entries(files: DataFrame, key: str, content: str = "content") -> DataFrame:
     """(key, line, title, url, section, optional): listed links with the H2 section that they are in, 'Pages' before any."""
     lines = files.select(key, F.posexplode(F.split(content, "\n")).alias("line", "s"))
@@ -121,7 +121,7 @@ def llms_warnings(entries: DataFrame, key: str) -> DataFrame:
     """(key, line, url, odd_scheme, duplicate, private) of entries."""
     w = Window.partitionBy(key, "url").orderBy("line")
     path = F.expr(r"CASE WHEN url RLIKE r'^[A-Za-z][A-Za-z0-9+.-]*://' THEN regexp_extract(url, r'^[^:]*://[^/?#]*([^?#]*)', 1) ELSE url END")
-    return entries.select(key, "line", "url", (F.col("url").rlike(r"(?i)^[a-z][a-z0-9+.-]*:") & ~F.col("url").rlike(r"(?i)^https?:")).alias("odd_scheme"), (F.row_number().over(w) > 1).alias("duplicate"), path.rlike(PRIVATE).alias("private"))
+    return entries.select(key, "line", "url", (F.col("url").rlike(r"(?i)^[a-z][a-z\d+.-]*:") & ~F.col("url").rlike(r"(?i)^https?:")).alias("odd_scheme"), (F.row_number().over(w) > 1).alias("duplicate"), path.rlike(PRIVATE).alias("private"))
 
 
 def packed(pages: DataFrame, site: str, key: str, size: str, most: int = 500_000) -> DataFrame:

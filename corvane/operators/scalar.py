@@ -71,7 +71,7 @@ def profile(d: Spark, counts: dict[str, str], fences: str, ext: str) -> tuple[st
 
 
 #: Which dimensions a profile has; unknown profiles have all.
-DIMENSIONS = ("structure", "statistics", "quotations", "citations", "clarity")
+DIMENSIONS = tuple("structure statistics quotations citations clarity".split())
 PROFILES = {
     "documentation": ("structure", "citations", "clarity"),
     "open-source": ("structure", "citations", "clarity"),

@@ -82,7 +82,7 @@ def audit(head: str = "head", html: str = "html", least_words: int = 20) -> list
 def resolved(href: str, base: str) -> str:
     """An address against the page's, in SQL: absolute, protocol-relative, root-relative or relative to the page's folder; fragments stay."""
     origin, folder = f"regexp_extract({base}, r'^(https?://[^/?#]*)', 1)", f"regexp_replace(regexp_replace({base}, r'[?#].*$', ''), r'([^/])/[^/]*$', '$1/')"
-    return f"CASE WHEN {href} RLIKE r'^(?i)[a-z][a-z0-9+.-]*:' OR {href} RLIKE r'^#' THEN {href} WHEN {href} RLIKE r'^//' THEN regexp_extract({base}, r'^(https?:)', 1) || {href} WHEN {href} RLIKE r'^/' THEN {origin} || {href} ELSE {folder} || {href} END"
+    return f"CASE WHEN {href} RLIKE r'^(?i)[a-z][a-z\d+.-]*:' OR {href} RLIKE r'^#' THEN {href} WHEN {href} RLIKE r'^//' THEN regexp_extract({base}, r'^(https?:)', 1) || {href} WHEN {href} RLIKE r'^/' THEN {origin} || {href} ELSE {folder} || {href} END"
 
 
 def required_sql() -> str:

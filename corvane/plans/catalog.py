@@ -127,7 +127,7 @@ both("findings_diff", lambda s, d: site.diff(site.findings(scored(s, d)), site.f
 both("quality_by_band", lambda s, d: scored(s, d).select("doc_id", "profile", "band", "v2_score").join(table(s, d, "labels").select("doc_id", "quality"), "doc_id").cube("profile", "band").agg(F.count("*").alias("documents"), F.sum("quality").alias("good"), F.grouping_id().alias("level")).select(F.coalesce("profile", F.lit("all")).alias("profile"), F.coalesce("band", F.lit("all")).alias("band"), "documents", "good", "level"),
      f"SELECT coalesce(profile, 'all') AS profile, coalesce(band, 'all') AS band, count(*) AS documents, CAST(sum(quality) AS BIGINT) AS good, grouping_id(profile, band) AS level FROM ({_SCORED}) t JOIN labels USING (doc_id) GROUP BY CUBE (profile, band)")
 
-# Crawler policy -----------------------------------------------------------------------------------------------------
+# Crawler policy
 _ROBOTS_SQL = f"""
 line AS (SELECT page_id, unnest(range(len(string_split(content, chr(10))))) AS line, unnest(string_split(content, chr(10))) AS raw FROM {ROBOTS_FROM} r),
 said AS (SELECT page_id, line, regexp_replace(regexp_replace(raw, '#.*', ''), '^\\s+|\\s+$', '', 'g') AS s, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') = '' AS blank FROM line),
@@ -160,7 +160,7 @@ def _robots_effective(spark: SparkSession, sf_dir: str) -> DataFrame:
 both("robots_parse", lambda s, d: robots.rules(robots_files(s, d), "page_id").select("page_id", F.col("line").cast("bigint").alias("line"), "grp", "kind", "value"), f"WITH {_ROBOTS_SQL} SELECT page_id, line, CAST(grp AS BIGINT) AS grp, kind, value FROM rules")
 both("robots_effective", _robots_effective, f"WITH {_ROBOTS_SQL} SELECT c.page_id, c.token, c.path, coalesce(top.kind = 'allow', true) AS allowed, coalesce(top.rule, '') AS rule FROM (SELECT DISTINCT page_id, token, path FROM chosen JOIN asked USING (page_id)) c LEFT JOIN top USING (page_id, token, path)")
 
-# Link indexes and sitemaps ------------------------------------------------------------------------------------------
+# Link indexes and sitemaps
 LLMS = """'# Site ' || source || chr(10) || string_agg(CASE WHEN doc_id % 7 = 0 THEN '## Part ' || CAST(doc_id % 21 AS STRING) || chr(10) WHEN doc_id % 11 = 0 THEN '## Optional' || chr(10) ELSE '' END
   || '- [Page ' || CAST(doc_id AS STRING) || '](' || CASE WHEN doc_id % 13 = 0 THEN 'ftp://x/' WHEN doc_id % 5 = 0 THEN '/admin/' ELSE 'https://example.org/' END || CAST(doc_id % 40 AS STRING) || ')' || CASE WHEN doc_id % 2 = 0 THEN ': text' ELSE '' END, chr(10) ORDER BY doc_id)"""
 
@@ -178,7 +178,7 @@ entry AS (SELECT source, line, trim(regexp_extract(s, '^\\s*-\\s+\\[([^\\]]+)\\]
   FROM sect WHERE regexp_matches(s, '^\\s*-\\s+\\[[^\\]]+\\]\\([^)]+\\)'))"""
 both("llms_entries", lambda s, d: crawl.llms_entries(llms_files(s, d), "source"), f"WITH {_ENTRIES_SQL} SELECT * FROM entry")
 both("llms_warnings", lambda s, d: crawl.llms_warnings(crawl.llms_entries(llms_files(s, d), "source"), "source"),
-     f"""WITH {_ENTRIES_SQL} SELECT source, line, url, regexp_matches(url, '(?i)^[a-z][a-z0-9+.-]*:') AND NOT regexp_matches(url, '(?i)^https?:') AS odd_scheme, row_number() OVER (PARTITION BY source, url ORDER BY line) > 1 AS duplicate,
+     f"""WITH {_ENTRIES_SQL} SELECT source, line, url, regexp_matches(url, '(?i)^[a-z][a-z\\d+.-]*:') AND NOT regexp_matches(url, '(?i)^https?:') AS odd_scheme, row_number() OVER (PARTITION BY source, url ORDER BY line) > 1 AS duplicate,
      regexp_matches(CASE WHEN regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1) ELSE url END, '/admin\\b|/private\\b|/internal\\b|/\\.|/_') AS private FROM entry""")
 both("llms_packing", lambda s, d: crawl.packed(table(s, d, "documents").where("source IS NOT NULL AND doc_id IS NOT NULL").select("source", "doc_id", F.length("text").alias("n")), "source", "doc_id", "n", 20_000),
      """WITH RECURSIVE p AS (SELECT source, doc_id, length(text) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE source IS NOT NULL AND doc_id IS NOT NULL),
@@ -194,7 +194,7 @@ both("sitemap_chunks", lambda s, d: crawl.chunked(table(s, d, "pages").where("pa
 both("url_cap_distinct", lambda s, d: (lambda p: positions(p, "first").where("position < 40").select("host", "first", "position"))(table(s, d, "pages").groupBy(F.regexp_extract("url", r"^https?://([^/]*)", 1).alias("host")).agg(F.min("page_id").alias("first"))),
      "SELECT host, first, row_number() OVER (ORDER BY first) - 1 AS position FROM (SELECT regexp_extract(url, '^https?://([^/]*)', 1) AS host, min(page_id) AS first FROM pages GROUP BY 1) t QUALIFY row_number() OVER (ORDER BY first) <= 40")
 
-# Structured data ----------------------------------------------------------------------------------------------------
+# Structured data
 _BLOCKS_SQL = f"block AS (SELECT page_id, unnest(regexp_extract_all(head, {technical.JSON_LD!r}, 1)) AS json FROM {PAGES_FROM} p)".replace("\\\\", "\\")
 
 
@@ -209,12 +209,12 @@ both("required_fields_anti", lambda s, d: jsonld.missing_fields(_blocks(s, d)).s
      f"""WITH {_BLOCKS_SQL}, v AS (SELECT page_id, json, json_extract_string(json, '$."@type"') AS type FROM block WHERE json_valid(json))
      SELECT page_id, v.type, field FROM v JOIN {technical.required_sql()} ON v.type = required.type WHERE coalesce(json_extract_string(json, '$."' || field || '"'), '') = ''""")
 both("resolved_links", lambda s, d: pages(s, d).select("page_id", F.posexplode(F.expr(f"regexp_extract_all(html, r'{technical.LINK_TAG}', 1)")).alias("ord", "href"), "url").select("page_id", F.col("ord").cast("bigint").alias("ord"), "href", F.expr(technical.resolved("href", "url")).alias("resolved")),
-     rf"""SELECT page_id, ord, href, CASE WHEN regexp_matches(href, '(?i)^[a-z][a-z0-9+.-]*:|^#') THEN href WHEN href LIKE '//%' THEN regexp_extract(url, '^(https?:)', 1) || href WHEN href LIKE '/%' THEN regexp_extract(url, '^(https?://[^/?#]*)', 1) || href
+     rf"""SELECT page_id, ord, href, CASE WHEN regexp_matches(href, '(?i)^[a-z][a-z\\d+.-]*:|^#') THEN href WHEN href LIKE '//%' THEN regexp_extract(url, '^(https?:)', 1) || href WHEN href LIKE '/%' THEN regexp_extract(url, '^(https?://[^/?#]*)', 1) || href
      ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '([^/])/[^/]*$', '\1/') || href END AS resolved
      FROM (SELECT page_id, url, unnest(h) AS href, unnest(range(len(h))) AS ord FROM (SELECT page_id, url, regexp_extract_all(html, {technical.LINK_TAG!r}, 1) AS h FROM pages) t) u""".replace("\\\\", "\\"))
 
 
-# Evidence, generated files, parsers ------------------------------------------------------------------------------------
+# Evidence, generated files, parsers
 _REFS = "CASE WHEN doc_id % 3 = 0 THEN 'geo-kdd-2024' WHEN doc_id % 3 = 1 THEN 'nowhere' ELSE 'google-hreflang-2025' END"
 both("source_refs_anti", lambda s, d: evidence.missing_refs(documents(s, d).select("doc_id", F.array(F.expr(_REFS), F.lit("google-ai-guide-2025")).alias("source_refs")), "doc_id"),
      f"SELECT doc_id, ref FROM (SELECT DISTINCT doc_id, unnest([{_REFS}, 'google-ai-guide-2025']) AS ref FROM documents) t WHERE ref NOT IN (SELECT id FROM {evidence.EVIDENCE_SQL})")
