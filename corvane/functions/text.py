@@ -62,7 +62,7 @@ def is_html(d: Spark, t: str) -> str:
 def visible(d: Spark, t: str) -> str:
     """Visible text of markup: block ends become line ends, other tags go, the common entities are resolved."""
     out = d.sub(t, r"(?i)<!--[\s\S]*?-->|<(?:script)[\s\S]*?</script>|<style[\s\S]*?</style>|<noscript[\s\S]*?</noscript>|<head[\s>][\s\S]*?</head>")
-    out = d.sub(out, r"(?i)</(?:p|div|section|article|header|footer|main|nav|ul|ol|table|blockquote|pre|h[1-6])\s*>", "\n\n")
+    out = d.sub(out, rf"(?i)</{any_word('h[1-6] pre blockquote table ol ul nav main footer header article section div p')}\s*>", "\n\n")
     out = d.sub(d.sub(out, r"(?i)<br\s*/?>|</(?:li|tr)\s*>", "\n"), r"<[^>]*>")
     for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
         out = f"replace({out}, '{a}', '{b}')"

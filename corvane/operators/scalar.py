@@ -2,38 +2,53 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions import text as T
 from ..functions.dialect import Spark
 
 _any, _words = T.any_of, T.any_word
 
 
+class Signal(str):
+    """A pattern, and words of which a text in lower case has to contain one if the pattern is to match: a cheap test that most texts fail."""
+
+    needles: tuple[str, ...] = ()
+
+    @classmethod
+    def of(cls, pattern: str, phrases: tuple[str, ...]) -> Signal:
+        out = cls(pattern)
+        plain = (re.sub(r"\\x\{[0-9a-f]+\}\??|\(\?:[^)]*\)\??|\w\?|\\.", " ", p.lower()) for p in phrases)
+        out.needles = tuple(dict.fromkeys(max(re.findall(r"[a-z0-9]+", p), key=len) for p in plain))
+        return out
+
+
 def _said(*phrases: str) -> str:
     """Any of the phrases, whole words, in any case."""
-    return rf"(?i)\b{_any(*phrases)}\b"
+    return Signal.of(rf"(?i)\b{_any(*phrases)}\b", phrases)
 
 
 def _has(*phrases: str) -> str:
-    return rf"(?i){_any(*phrases)}"
+    return Signal.of(rf"(?i){_any(*phrases)}", phrases)
 
 
 PROFILE_SIGNALS: dict[str, tuple[str, ...]] = {
     "regulated": (
-        _has("privacy policy"), rf"(?i)terms\s*{_words('and of')}\s*{_words('conditions use service')}", r"(?i)forward[-\s]looking\s*statements", rf"(?i)securities\s*{_words('& and')}\s*exchange\s*commission",
+        _has("privacy policy"), Signal.of(rf"(?i)terms\s*{_words('and of')}\s*{_words('conditions use service')}", ("terms",)), Signal.of(r"(?i)forward[-\s]looking\s*statements", ("statements",)), Signal.of(rf"(?i)securities\s*{_words('& and')}\s*exchange\s*commission", ("securities",)),
         _has("securities exchange act", "securities act"), _has("medical review"), _has("last reviewed :"), _has("data protection officer"), _has("gdpr article"),
-        _has("standard contractual clauses"), _has("subprocessors"), r"(?i)legal\s*basis\s*(?:\x{2014}|:|for)", _has("retention period"), _said("fiscal quarter", "fiscal year", "quarterly report", "earnings report"),
+        _has("standard contractual clauses"), _has("subprocessors"), Signal.of(r"(?i)legal\s*basis\s*(?:\x{2014}|:|for)", ("basis",)), _has("retention period"), _said("fiscal quarter", "fiscal year", "quarterly report", "earnings report"),
     ),
     "ecommerce": (
         _said(*(f"add to {x}" for x in ("basket", "bag", "cart")), "shop now", "buy now"), r"\$\d+(?:\.\d{2})?\b", _said(*(f"verified {x}" for x in ("owner", "buyer", "purchase"))), _has("customer reviews"),
         _has("frequently bought together"), _has("shipping and returns", "shipping & returns"), _has("weight capacity"),
     ),
     "documentation": (
-        _said("sdk", "endpoint", "cli reference", "api reference", "configuration schema"), r"```[a-z]*\n[\s\S]*?```", rf"(?i)\b{_words('authentication authorization')}\s*:",
-        rf"(?i)\b{_words('request response')}\s*{_words('code headers body')}:", _has("base url"), _has("rate limit"), _said("query optimization", "execution plan", "query planner"),
-        _said("minor release", "regression suite", "backward compatibility"), rf"(?i)\b{_words('fixed changed added removed deprecated syntax')}\s*{_words('since in')}\s*{_words('version v')}\s*\d", rf"(?i)\b{_any('since', 'throws', 'parameter', 'return type')}\s*:",
+        _said("sdk", "endpoint", "cli reference", "api reference", "configuration schema"), r"```[a-z]*\n[\s\S]*?```", Signal.of(rf"(?i)\b{_words('authentication authorization')}\s*:", ("authentication", "authorization")),
+        Signal.of(rf"(?i)\b{_words('request response')}\s*{_words('code headers body')}:", ("request", "response")), _has("base url"), _has("rate limit"), _said("query optimization", "execution plan", "query planner"),
+        _said("minor release", "regression suite", "backward compatibility"), Signal.of(rf"(?i)\b{_words('fixed changed added removed deprecated syntax')}\s*{_words('since in')}\s*{_words('version v')}\s*\d", tuple("fixed changed added removed deprecated syntax".split())), Signal.of(rf"(?i)\b{_any('since', 'throws', 'parameter', 'return type')}\s*:", ("since", "throws", "parameter", "return")),
     ),
     "open-source": (
-        _said("license", "changelog", "contributing", "architecture decision"), r"\[!\[[^\n]*\]\([^\n]*\)\]\([^\n]*\)", rf"(?i)npm\s+{_words('install i')}\s+", r"(?i)pip\s+install\s+", _said(r"contributing\.md", "code of conduct"),
+        _said("license", "changelog", "contributing", "architecture decision"), r"\[!\[[^\n]*\]\([^\n]*\)\]\([^\n]*\)", Signal.of(rf"(?i)npm\s+{_words('install i')}\s+", ("npm",)), Signal.of(r"(?i)pip\s+install\s+", ("pip",)), _said(r"contributing\.md", "code of conduct"),
         _said("commit conventions", "conventional commits"), _said("getting started", "quickstart"), _has("pull request process", "pull request checklist"),
     ),
     "commercial": (
@@ -50,8 +65,14 @@ PROFILE_SIGNALS: dict[str, tuple[str, ...]] = {
 }
 
 
-def signals(d: Spark, profile: str, t: str) -> str:
-    return "(" + " + ".join(f"CASE WHEN {d.has(t, p)} THEN 1 ELSE 0 END" for p in PROFILE_SIGNALS[profile]) + ")"
+def signals(d: Spark, profile: str, t: str, lowered: str) -> str:
+    """How many of a profile's signals t has; lowered: t in lower case."""
+
+    def one(p: str) -> str:
+        needles = getattr(p, "needles", ())
+        return (f"({' OR '.join(f'contains({lowered}, {n!r})' for n in needles)}) AND " if needles else "") + d.has(t, p)
+
+    return "(" + " + ".join(f"CASE WHEN {one(p)} THEN 1 ELSE 0 END" for p in PROFILE_SIGNALS[profile]) + ")"
 
 
 def profile(d: Spark, counts: dict[str, str], fences: str, ext: str) -> tuple[str, str]:

@@ -266,13 +266,13 @@ def v1(t: str = "text", content: str = "content", limit: float = 0.02) -> list[L
 
 def profiles(content: str = "content") -> list[Layer]:
     def counts(d: Spark) -> dict[str, str]:
-        return {f"signals_{p.replace('-', '_')}": S.signals(d, p, content) for p in S.PROFILE_SIGNALS} | {"fences": d.count(content, "```")}
+        return {f"signals_{p.replace('-', '_')}": S.signals(d, p, content, "lowered") for p in S.PROFILE_SIGNALS} | {"fences": d.count(content, "```")}
 
     def chosen(d: Spark) -> dict[str, str]:
         p, c = S.profile(d, {k: f"signals_{k.replace('-', '_')}" for k in S.PROFILE_SIGNALS}, "fences", "ext")
         return {"profile": p, "confidence": c}
 
-    return [counts, chosen]
+    return [lambda d: {"lowered": f"lower({content})"}, counts, chosen]
 
 
 def v2(limit: float = 0.05) -> list[Layer]:
