@@ -6,6 +6,7 @@ non-ASCII character is part of a word; the same rule in SQL is split(lower(text)
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,6 +77,17 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, target: int) -> Iterato
                 held, size = [], 0
     if held:
         yield pa.Table.from_batches(held)
+    held = []
+    released()
+
+
+def released() -> None:
+    """Give memory that this Python process no longer uses back to the system: workers are kept for the next task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
 
 
 def spans(raw: np.ndarray, offsets: np.ndarray, is_in: np.ndarray = WORD_BYTE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
