@@ -36,6 +36,7 @@ def audit(head: str = "head", html: str = "html", least_words: int = 20) -> list
             "alternates": d.filter(links, "l", d.has("l", r"(?i)hreflang=")),
             "directives": d.filter(d.map(d.split(d.join(d.map(metas, "m", _attr(d, "m", "content")), ","), ","), "x", f"lower({d.trim('x')})"), "y", "y <> ''"),
             "blocks": d.every(head, JSON_LD, 1),
+            "visible_low": f"lower({d.sub(d.sub(stripped, r'<[^>]*>', ' '), r'\s+', ' ')})",
             "visible_words": T.words(d, d.sub(stripped, r"<[^>]*>", " ")),
             "levels": d.map(heads, "h", f"CAST(substr(h, 3, 1) AS BIGINT)"),
             "hrefs": d.every(html, LINK_TAG, 1),
@@ -50,6 +51,13 @@ def audit(head: str = "head", html: str = "html", least_words: int = 20) -> list
             skips = "CAST(len(list_filter(range(2, len(levels) + 1), lambda i: levels[i] > levels[i - 1] + 1)) AS BIGINT)"
         lang = d.map("alternates", "a", f"lower({_attr(d, 'a', 'hreflang')})")
         has = lambda x: f"{d.size(d.filter('directives', 'y', f'y = {x!r}'))} > 0"
+        if type(d) is Spark:
+            valid, named = "try_parse_json(b) IS NOT NULL", "get_json_object(b, '$.headline'), get_json_object(b, '$.name'), get_json_object(b, '$.description')"
+            names = f"filter(flatten(transform(filter(blocks, b -> {valid}), b -> array({named}))), n -> n IS NOT NULL AND n <> '')"
+        else:
+            valid, named = "json_valid(b)", "json_extract_string(b, '$.headline'), json_extract_string(b, '$.name'), json_extract_string(b, '$.description')"
+            names = f"list_filter(flatten(list_transform(list_filter(blocks, lambda b: {valid}), lambda b: [{named}])), lambda n: n IS NOT NULL AND n <> '')"
+        title = f"lower({d.join('titles', ' ')})"
         unsafe = d.has("h", r"(?i)^\s*(?:javascript|data|vbscript|file|blob):")
         return {
             "title_count": d.size("titles"), "title_empty": f"{d.size(d.filter('titles', 't', chr(39) * 2 + ' <> t'))} = 0",
@@ -61,6 +69,9 @@ def audit(head: str = "head", html: str = "html", least_words: int = 20) -> list
             "bad_languages": d.size(d.filter(lang, "g", f"g <> 'x-default' AND NOT {d.has('g', LANGUAGE)}")), "repeated_languages": f"{d.size(lang)} - {d.size(d.distinct(lang))}",
             "relative_alternates": d.size(d.filter("alternates", "a", f"NOT {d.has(_attr(d, 'a', 'href'), r'^(?i:https?)://')}")),
             "link_count": d.size("hrefs"), "bad_links": d.size(d.filter("hrefs", "h", f"{d.trim('h')} = '' OR {unsafe}")),
+            "invalid_blocks": d.size(d.filter("blocks", "b", f"NOT ({valid})")),
+            # A name is consistent if the title or the visible text has it.
+            "unseen_names": d.size(d.filter(names, "n", f"NOT contains({title}, lower(n)) AND NOT contains(visible_low, lower(n))")),
             "block_count": d.size("blocks"), "app_shell": f"visible_words < {least_words} AND scripts > 0 AND (app_root OR visible_words = 0)",
         }
 
@@ -73,6 +84,7 @@ def audit(head: str = "head", html: str = "html", least_words: int = 20) -> list
             "f_heading_order": "CASE WHEN h1_count = 1 AND level_skips = 0 THEN 'pass' ELSE 'warn' END",
             "f_language_alternates": "CASE WHEN bad_languages + repeated_languages + relative_alternates = 0 THEN 'pass' ELSE 'warn' END",
             "f_internal_links": "CASE WHEN bad_links = 0 THEN 'pass' ELSE 'warn' END",
+            "f_structured_data": "CASE WHEN block_count = 0 THEN 'not_applicable' WHEN invalid_blocks > 0 THEN 'fail' WHEN unseen_names > 0 THEN 'warn' ELSE 'pass' END",
             "f_empty_app_shell": "CASE WHEN app_shell THEN 'warn' ELSE 'pass' END",
         }
 

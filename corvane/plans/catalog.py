@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..functions.layers import Layer, apply, check_sql
 from ..functions.order import positions
 from ..operators import crawl, evidence, jsonld, robots, scoring, site, technical
+from ..operators import pages as page_data
 from ..operators import scalar as S
 from ..sources import files, parsers
 from .corpora import MARKDOWN, MARKDOWN_FROM, PAGE_HEAD, PAGES_FROM, PATH, ROBOTS, ROBOTS_FROM
@@ -67,7 +68,7 @@ for _name, _keep in {
 projection(
     "tech_audit", pages, PAGES_FROM, technical.audit(),
     ["page_id", "title_count", "title_empty", "canonical_count", "canonical_conflict", "canonical_absolute", "unknown_directives", "directive_conflict", "noindex", "h1_count", "level_skips", "bad_languages", "repeated_languages",
-     "relative_alternates", "link_count", "bad_links", "block_count", "visible_words", "app_shell", "f_title", "f_visible_main_text", "f_canonical", "f_meta_robots", "f_heading_order", "f_language_alternates", "f_internal_links", "f_empty_app_shell"],
+     "relative_alternates", "link_count", "bad_links", "block_count", "visible_words", "app_shell", "f_title", "f_visible_main_text", "f_canonical", "f_meta_robots", "f_heading_order", "f_language_alternates", "f_internal_links", "f_empty_app_shell", "invalid_blocks", "unseen_names", "f_structured_data"],
 )
 projection("word_counts", documents, "documents", [lambda d: {"words": T.words(d, "text"), "blank_words": T.blank_words(d, "text")}], ["doc_id", "words", "blank_words"])
 projection("strip_preprocess", markdown, MARKDOWN_FROM, [lambda d: {"body": T.body(d, "content"), "pre": T.preprocessed(d, "content")}], ["doc_id", "body", "pre"])
@@ -87,6 +88,7 @@ projection(
      lambda d: {"blocked": S.blocked_ip("ip"), "hop": S.hop_allowed(d, "url", "CASE WHEN page_id % 2 = 0 THEN url ELSE 'https://example.org/' END")}],
     ["page_id", "ip", "blocked", "hop"],
 )
+projection("page_metadata", markdown, MARKDOWN_FROM, page_data.metadata(), ["doc_id", "title", "description", "section"])
 IGNORES = ["# drafts", "blog/", "!blog/2024/", "*.html", "!/site/docs/**", "/site/docs/index.md", "page ?1.md"]
 projection("ignore_last_match", markdown, MARKDOWN_FROM, [lambda d: {"ignored": crawl.ignored("path", IGNORES, d.has)}], ["doc_id", "path", "ignored"])
 SITEMAP = """CASE WHEN page_id % 10 <> 0 THEN '<?xml version="1.0" encoding="UTF-8"?>' ELSE '' END || '<urlset' || CASE WHEN page_id % 7 <> 0 THEN ' xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"' ELSE '' END || '><url><loc>' || url

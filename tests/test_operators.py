@@ -163,3 +163,19 @@ def test_stream_scores_each_path_once(spark, tmp_path):
     query = landing.scores(landing.landed(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("scored_stream").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted(r.path for r in spark.table("scored_stream").collect()) == ["a.md", "b.md"]
+
+
+def test_page_metadata(spark):
+    from corvane.operators import pages
+
+    rows = [("site/docs/a.md", "---\ntitle: F\n---\n# Head\n\nFirst words here."), ("blog/b.md", "---\ntitle: 'F'\n---\nBody text."), ("x/c.html", "<h1>A <b>c</b></h1>"), ("z.md", ""), ("y/long.md", "w " * 100)]
+    got = [r.asDict() for r in apply(spark.createDataFrame(rows, "path string, content string"), pages.metadata()).collect()]
+    assert [(r["title"], r["section"]) for r in got] == [("Head", "Documentation"), ("F", "Blog"), ("A c", "x"), ("z", "Pages"), ("long", "y")]
+    assert got[0]["description"] == "First words here." and got[3]["description"] == "" and len(got[4]["description"]) == 150 and got[4]["description"].endswith("...")
+
+
+def test_structured_data_has_to_be_seen(spark):
+    block = '<script type="application/ld+json">{"headline":"%s"}</script>'
+    rows = [(1, "<title>My Page</title>" + block % "my page", "<p>x</p>"), (2, block % "gone", "<p>x</p>"), (3, block % "In Text", "<p>words in  text</p>"), (4, '<script type="application/ld+json">{bad</script>', "x"), (5, "", "x")]
+    out = apply(spark.createDataFrame(rows, "page_id bigint, head string, html string"), technical.audit(), ["page_id", "f_structured_data"])
+    assert [r.f_structured_data for r in out.orderBy("page_id").collect()] == ["pass", "warn", "pass", "fail", "not_applicable"]
