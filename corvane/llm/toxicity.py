@@ -3,14 +3,18 @@
 A text's sentences are judged by their units: words cut at white space, with what is inserted in them, and runs of
 single spelt-out letters ("i d i o t") as one. The kernel of two units sums, over the subsequences of 3 letters that they share,
 decay^span, where a span counts gaps and inserted characters too (up to SPAN), normalised by lengths; so "id-iot" or
-"idxiot" stays close to the insult. Landmarks give a Nyström map in which a linear machine with squared hinge loss is
-trained. A sentence scores as its worst unit and a document as its worst sentence. Labels are of documents: each
+"idxiot" stays close to the insult. Besides, windows slide over each sentence's letters from word to word, with blanks and
+symbols as gaps ("id iot", "i - d - i - o - t"): every run of its words of at most BLOCK letters and edges that has a gap inside.
+There a gap counts in the span however long it is, only letters are bounded by SPAN, an accent counts with its letter, and
+the kernel is normalised by the window's own gaps. A sentence ends at a blank line, or at a full stop, question or exclamation
+mark after a word of two letters or more. Landmarks give a Nyström map in which a linear machine with squared hinge loss is
+trained. A sentence scores as its worst unit or window and a document as its worst sentence. Labels are of documents: each
 sentence of a clean one is clean; in a toxic one those sentences are taken as toxic that hold a unit found far more often
 in toxic documents or, anew after each fit, the worst unit (multiple-instance learning). As kernel values against landmarks are linear in subsequences, the fitted machine folds into
 one table of 32^3 numbers, and scoring is look-ups over whole buffers: one pass, no shuffle.
 
 Training uses bounded samples of labelled documents (`toxic`, `clean`: lowest id hash). The threshold is set on the third
-of them that no fit saw. Letters are in lower case, accents follow them as letters of
+of them that no fit saw; that of windows, which no fit sees, so that WINDOW_ALARMS of all clean ones in the sample pass it. Letters are in lower case, accents follow them as letters of
 their own, and the bytes of other scripts share four classes.
 
 Defined results: null and empty texts, and those without a unit of 3 letters, have score null and are not toxic; a null
@@ -34,6 +38,7 @@ from .common import hash_order_sample, read_table
 
 TOXIC, CLEAN = 2000, 4000
 DECAY, SPAN, LANDMARKS, BLOCK = 0.8, 8, 384, 32
+WINDOW_ALARMS, SLICE = 0.01, 200_000
 
 _LETTER = np.zeros(256, np.int32)  # 0: a gap
 _LETTER[97:123] = np.arange(1, 27)
@@ -42,6 +47,9 @@ _LETTER[128:192] = 27 + np.arange(64) % 4  # accents are letters of their own af
 _EDGE = 31  # where a unit begins and ends
 _INK = np.ones(256, bool)
 _INK[[*range(9, 14), 32]] = False
+_STOP, _CLOSE = np.zeros(256, bool), np.zeros(256, bool)
+_STOP[list(b".!?")] = True
+_CLOSE[list(b"\"')]}*_")] = True
 _STEPS = [(d1, d2) for d2 in range(2, SPAN) for d1 in range(1, d2)]
 
 
@@ -100,6 +108,119 @@ def units(column: pa.Array) -> Units:
     return Units(letter, left, start, count(letter > 0), count((letter > 0) & (letter < _EDGE)) >= 3, np.repeat(doc[first], blocks))
 
 
+@dataclass
+class Letters:
+    """The letters of all texts, one after the other, with the words that they stand in."""
+
+    letter: np.ndarray
+    place: np.ndarray  # characters before it; an accent has its letter's
+    low: np.ndarray  # of each word, its first letter
+    high: np.ndarray  # and where its letters end
+    sentence: np.ndarray
+    doc: np.ndarray
+
+
+def letters(column: pa.Array) -> Letters:
+    raw, offsets = buffers(pc.utf8_normalize(pc.utf8_lower(column), form="NFKD"))
+    kind, counts = _LETTER[raw], np.ones(len(raw), bool)
+    if (raw >= 0x80).any():
+        follows = (raw >= 0x80) & (raw < 0xC0)
+        lead = raw[np.maximum.accumulate(np.where(follows, 0, np.arange(len(raw))))]
+        kind[follows & ((lead == 0xC2) | (lead == 0xE2))] = 0  # dashes, quotes, invisible characters
+        accent = (lead == 0xCC) | (lead == 0xCD) & (raw < 0xB0)
+        counts = ~follows & ~accent
+        counts[:-1] &= ~((raw[:-1] == 0xCD) & accent[1:])
+    place = np.cumsum(counts)
+    on = np.flatnonzero(kind > 0)
+    s, e, doc = spans(raw, offsets, _INK)
+    low, high = np.searchsorted(on, s), np.searchsorted(on, e)
+    last = e - 1
+    for _ in range(3):  # closing quotes and brackets stand after the stop
+        last = np.where(_CLOSE[raw[last]] & (last > s), last - 1, last)
+    lines = np.concatenate([[0], np.cumsum(raw == 10)])
+    ends = _STOP[raw[last]] & (high - low > 1)
+    if len(s):
+        ends[:-1] |= (doc[1:] != doc[:-1]) | (lines[s[1:]] - lines[e[:-1]] > 1)
+    sentence = np.cumsum(ends) - ends
+    some = high > low
+    return Letters(kind[on], place[on], low[some], high[some], sentence[some], doc[some])
+
+
+def window_scores(x: Letters, table: np.ndarray, all_words: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(first word, last word, score) of all windows: sums over subsequences in the table and their norms, by running sums.
+
+    all_words: also words without a gap inside, which score as units do.
+    """
+    n, words, most = len(x.letter), len(x.low), BLOCK - 2
+    if not n:
+        return
+    power = DECAY ** np.arange(1024)
+    weight = lambda span: power[np.minimum(span, 1023)]
+    whole, square = np.zeros((SPAN, n + 1)), np.zeros((SPAN, n + 1))  # by letters between the ends: sums over subsequences that begin before a letter
+    code = x.letter.astype(np.int64)
+    first = code << 10
+    for d2 in range(2, min(SPAN, n)):
+        ends = first[:-d2] | code[d2:]
+        total = np.zeros(n - d2)
+        for d1 in range(1, d2):
+            total += table[ends | (code[d1 : n - d2 + d1] << 5)]
+        w = weight(x.place[d2:] - x.place[:-d2] + 1)
+        np.cumsum(total * w, out=whole[d2, 1 : n - d2 + 1])
+        np.cumsum((d2 - 1) * w * w, out=square[d2, 1 : n - d2 + 1])
+    padded, place = np.concatenate([np.zeros(SPAN, np.int64), code, np.zeros(SPAN, np.int64)]), np.concatenate([np.zeros(SPAN, np.int64), x.place, np.zeros(SPAN, np.int64)])
+    begin, end = (np.zeros((2, SPAN, words)) for _ in range(2))  # subsequences with the edge before a word, after it, by letters reached
+    for d in range(1, SPAN):
+        begin[:, d], end[:, d] = begin[:, d - 1], end[:, d - 1]
+        if d > 1:
+            k, i = x.low + (SPAN - 1 + d), x.high + (SPAN - d)
+            w, v = weight(np.maximum(place[k] - x.place[x.low], 0) + 2), weight(np.maximum(x.place[x.high - 1] - place[i], 0) + 2)
+            mid = sum(table[_EDGE << 10 | padded[k - d + j] << 5 | padded[k]] for j in range(1, d))
+            begin[:, d] += mid * w, (d - 1) * w * w
+            mid = sum(table[padded[i] << 10 | padded[i + d - j] << 5 | _EDGE] for j in range(1, d))
+            end[:, d] += mid * v, (d - 1) * v * v
+    middle = np.concatenate([[0], np.cumsum(table[_EDGE << 10 | code << 5 | _EDGE])])
+    first_part, last_part = begin[:, -1].copy(), end[:, -1].copy()  # of a long window: what its first and its last word bring
+    for d2 in range(2, min(SPAN, n)):
+        first_part -= whole[d2, x.low], square[d2, x.low]
+        to = np.maximum(x.high - d2, 0)
+        last_part += whole[d2, to], square[d2, to]
+    least = weight(np.array([BLOCK]))[0]
+    size = x.high - x.low
+    holes = x.place[x.high - 1] - x.place[x.low]
+    accents = np.concatenate([[0], np.cumsum(np.diff(x.place, prepend=x.place[0] - 1) == 0)])
+    m = 0
+    at = np.arange(words)
+    while len(at):
+        b_word = at + m
+        a, b = x.low[at], x.high[b_word]
+        count = b - a
+        fits = (count <= most) & (x.sentence[b_word] == x.sentence[at])
+        at, b_word, a, b, count = at[fits], b_word[fits], a[fits], b[fits], count[fits]
+        if m:
+            go = np.arange(len(at))
+        else:
+            base = count - (accents[b] - accents[a + 1])
+            go = np.arange(len(at)) if all_words else np.flatnonzero(holes[at] >= base)
+        go = go[count[go] >= 3]
+        if len(go):
+            f, t, lo, hi, c = at[go], b_word[go], a[go], b[go], count[go]
+            value, norm = first_part[:, f] + last_part[:, t]
+            k = np.flatnonzero(c < SPAN - 1)  # shorter than the longest subsequence
+            if len(k):
+                fk, tk, lo, hi, ck = f[k], t[k], lo[k], hi[k], c[k]
+                v, q = begin[:, ck, fk] + end[:, ck, tk]
+                for d2 in range(2, min(SPAN, n)):
+                    to = np.maximum(hi - d2, lo)
+                    v += whole[d2, to] - whole[d2, lo]
+                    q += square[d2, to] - square[d2, lo]
+                w = weight(x.place[hi - 1] - x.place[lo] + 3)
+                value[k] = v + (middle[hi] - middle[lo]) * w
+                norm[k] = q + ck * w * w
+            yield f, t, value / np.sqrt(np.maximum(norm, least**2))
+        m += 1
+        at = at[at + m < words]
+
+
 def _subsequences(u: Units) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
     """(first character, code of the three letters, weight) of all subsequences, step by step; codes with a gap are included."""
     at = np.flatnonzero(u.left > 2)
@@ -187,6 +308,7 @@ class Model:
     table: np.ndarray  # by code of three letters
     bias: float
     threshold: float
+    window: float = float("inf")  # threshold of windows
 
 
 def _names(u: Units) -> list[bytes]:
@@ -303,7 +425,78 @@ def trained(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int =
     flags = rows.column("toxic").to_numpy() == 1
     if not flags.any() or flags.all():
         return None
-    return fitted(rows.column("names").combine_chunks().cast(pa.list_(pa.binary())), flags)
+    model = fitted(rows.column("names").combine_chunks().cast(pa.list_(pa.binary())), flags)
+    del rows
+
+    def widest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in chunks(batches, "text", 1 << 20):
+            column = plain(table.column("text"))
+            yield pa.RecordBatch.from_arrays([pa.array(_best_units(column, model)), pa.array(_best_windows(column, model, 0.0))], ["unit", "window"])
+
+    top = sample.where("toxic = 0").select("text").mapInArrow(widest, "unit double, window double").toArrow()
+    window = np.sort(top.column("window").to_numpy()[top.column("unit").to_numpy() <= model.threshold])
+    if len(window):
+        model.window = float(max(window[int((1 - WINDOW_ALARMS) * (len(window) - 1))], -1e8))
+    return model
+
+
+def _best_units(column: pa.Array, model: Model) -> np.ndarray:
+    """Highest score of each text's units, -inf of none."""
+    top = np.full(len(column), -np.inf)
+    u = units(column)
+    each = unit_scores(u, model.table)
+    real = ~np.isnan(each)
+    np.maximum.at(top, u.doc[real], each[real] + model.bias)
+    return top
+
+
+def _norms_of(x: Letters, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Norms of windows from low to high (letters): by the running sums' rule, in which all subsequences differ, and whole, repeats added up."""
+    count = high - low
+    nth = np.arange(BLOCK)
+    inside = (nth > 0) & (nth <= count[:, None])
+    at = np.where(inside, low[:, None] + nth - 1, low[:, None])
+    code = np.where(inside, x.letter[at], 0).astype(np.int64)
+    place = np.where(inside, x.place[at] - x.place[low][:, None] + 1, 0)
+    rows = np.arange(len(low))
+    code[:, 0] = code[rows, count + 1] = _EDGE
+    place[rows, count + 1] = place[rows, count] + 1
+    same, back = np.unique(np.hstack([code, place]), axis=0, return_inverse=True)
+    code, place = same[:, :BLOCK], same[:, BLOCK:]
+    rough, exact = np.zeros(len(same)), np.zeros(len(same))
+    for r in range(0, len(same), 500):
+        c, p = code[r : r + 500], place[r : r + 500]
+        row = np.arange(len(c))[:, None]
+        keys, weights = [], []
+        for d2 in range(2, SPAN):
+            w = np.where((c[:, :-d2] > 0) & (c[:, d2:] > 0), DECAY ** np.minimum(p[:, d2:] - p[:, :-d2] + 1.0, 1023), 0)
+            for d1 in range(1, d2):
+                keys.append((row << 15 | c[:, :-d2] << 10 | c[:, d1 : BLOCK - d2 + d1] << 5 | c[:, d2:]).ravel())
+                weights.append(w.ravel())
+        key, w = np.concatenate(keys), np.concatenate(weights)
+        rough[r : r + 500] = np.bincount(key >> 15, w * w, len(c))
+        key, which = np.unique(key, return_inverse=True)
+        exact[r : r + 500] = np.bincount(key >> 15, np.bincount(which, w) ** 2, len(c))
+    least = DECAY ** (2 * BLOCK)
+    return np.sqrt(np.maximum(rough, least))[back.ravel()], np.sqrt(np.maximum(exact, least))[back.ravel()]
+
+
+def _best_windows(column: pa.Array, model: Model, above: float) -> np.ndarray:
+    """Highest score of each text's windows, -inf of none. Those above `above` are normalised again with their repeats, which only lowers them."""
+    top = np.full(len(column), -np.inf)
+    size = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False)) if len(column) else np.zeros(0)
+    if len(column) > 1 and size[-1] > SLICE:  # working arrays that stay in the processor's cache
+        half = min(max(int(np.searchsorted(size, size[-1] / 2)), 1), len(column) - 1)
+        return np.concatenate([_best_windows(c, model, above) for c in (column.slice(0, half), column.slice(half))])
+    x = letters(column)
+    for first, last, score in window_scores(x, model.table):
+        high = np.flatnonzero(score + model.bias > above)
+        for i in range(0, len(high), 20_000):
+            k = high[i : i + 20_000]
+            rough, exact = _norms_of(x, x.low[first[k]], x.high[last[k]])
+            score[k] *= np.where(score[k] > 0, rough / exact, 1)
+        np.maximum.at(top, x.doc[first], score + model.bias)
+    return top
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -314,10 +507,8 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
             n = table.num_rows
             top = np.full(n, -np.inf)
             if model:
-                u = units(plain(table.column("text")))
-                each = unit_scores(u, model.table)
-                real = ~np.isnan(each)
-                np.maximum.at(top, u.doc[real], each[real] + (model.bias - model.threshold))
+                column = plain(table.column("text"))
+                top = np.maximum(_best_units(column, model) - model.threshold, _best_windows(column, model, model.window) - model.window)
             yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), pa.array(top, mask=~np.isfinite(top)), pa.array(top > 0)], ["doc_id", "score", "toxic"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, score double, toxic boolean")

@@ -118,6 +118,50 @@ def test_units_join_letters_and_cut_long_ones():
     assert not u.judged[[n == "_AN_" for n in names].index(True)]
 
 
+def _window(text, table):
+    """The score of a window by brute force: letters with an edge before and after, spans in characters, all subsequences different."""
+    seen = [(int(X._LETTER[ord(c)]), i) for i, c in enumerate(text) if c.isalpha()]
+    x = [(X._EDGE, seen[0][1] - 1), *seen, (X._EDGE, seen[-1][1] + 1)]
+    value = norm = 0.0
+    for i in range(len(x)):
+        for j in range(i + 1, len(x)):
+            for k in range(j + 1, min(i + X.SPAN, len(x))):
+                w = X.DECAY ** (x[k][1] - x[i][1] + 1)
+                value += w * table[x[i][0] << 10 | x[j][0] << 5 | x[k][0]]
+                norm += w * w
+    return value / np.sqrt(norm)
+
+
+def test_windows_slide_over_sentences_and_equal_brute_force():
+    table = np.random.default_rng(0).normal(size=32**3) * X._solid()
+    got = {}
+    for t in ("an id iot. So mo ron", "i  d  i  o  t", "i - d - i - o - t", "st***upid"):
+        words, x = [w for w in t.split(" ") if any(c.isalpha() for c in w)], X.letters(plain(pa.array([t])))
+        at = np.cumsum([0, *(len(w) + 1 for w in t.split(" "))])[[i for i, w in enumerate(t.split(" ")) if any(c.isalpha() for c in w)]]
+        for first, last, score in X.window_scores(x, table):
+            for a, b, v in zip(first, last, score):
+                text = t[at[a] : at[b] + len(words[b])]
+                got[text] = v
+                assert abs(_window(text, table) - v) < 1e-9
+    assert {"id iot.", "mo ron", "i  d  i  o  t", "i - d - i - o - t", "st***upid"} <= set(got) and "iot. So" not in got and "So" not in got
+    accents = X.letters(plain(pa.array(["é\u200bt"])))
+    assert accents.place.tolist() == [1, 1, 3]  # the accent has its letter's place, an invisible character is a gap
+    low, high = np.array([0]), np.array([30])
+    rough, exact = X._norms_of(X.letters(plain(pa.array(["is " * 15]))), low, high)
+    assert exact[0] > 2 * rough[0]  # repeats add up
+
+
+def test_toxicity_of_gapped_insults(spark):
+    docs, labels = read_table(spark, "/root/testdata/sf0.1", "documents"), read_table(spark, "/root/testdata/sf0.1", "labels")
+    model = X.trained(docs, labels.where("doc_id % 3 <> 0"))
+    insults = ["disgusting", "worthless", "idiot", "trash", "stupid", "moron", "pathetic"]
+    said = [f"and so the {gap.join(w)} went there" for gap in ("  ", " - ", "***") for w in insults]
+    rows = [(i, t, None, None, 1) for i, t in enumerate([*said, "an id  iot", "and so the people went there"])]
+    flags = {r.doc_id: r.toxic for r in X.scored(spark.createDataFrame(rows, documents(spark).schema), model).collect()}
+    assert sum(flags[i] for i in range(len(said))) >= 0.9 * len(said) and not flags[len(rows) - 1]
+    assert X.scored(spark.createDataFrame([(1, "i  d  i  o  t", None, None, 1)], documents(spark).schema), model).first().score is not None
+
+
 def test_toxicity_of_held_out_labels_and_obfuscation(spark):
     docs, labels = read_table(spark, "/root/testdata/sf0.1", "documents"), read_table(spark, "/root/testdata/sf0.1", "labels")
     model = X.trained(docs, labels.where("doc_id % 3 <> 0"))
