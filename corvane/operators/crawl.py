@@ -103,6 +103,13 @@ def crawl(root: list[str], fetch: DataFrame, max_fetches: int = 100, max_urls: i
     return first.orderBy("first").limit(max_urls).select("loc", "first.depth"), {"fetched": fetched, "skipped": skipped}
 
 
+def capped_urls(pages: DataFrame, url: str, key: str, most: int = MAX_URLS) -> DataFrame:
+    """(url, first, position, left_out): the first `most` distinct addresses in order of their least key (a unique bigint), and how many more there are."""
+    first = pages.where(F.col(url).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(url).alias("url")).agg(F.min(key).alias("first"))
+    left = first.agg(F.greatest(F.count("*") - most, F.lit(0)).alias("left_out"))  # one row
+    return positions(first, "first").where(F.col("position") < most).crossJoin(F.broadcast(left)).select("url", "first", "position", "left_out")
+
+
 # Link indexes
 def llms_entries(files: DataFrame, key: str, content: str = "content") -> DataFrame:
     """(key, line, title, url, section, optional): listed links with the H2 section that they are in, 'Pages' before any."""

@@ -195,6 +195,9 @@ both("sitemap_chunks", lambda s, d: crawl.chunked(table(s, d, "pages").where("pa
      "SELECT chunk, count(*) AS urls, min(url) AS first, max(url) AS last FROM (SELECT url, CAST(floor((row_number() OVER (ORDER BY page_id) - 1) / 60) AS BIGINT) AS chunk FROM pages WHERE page_id IS NOT NULL) t GROUP BY chunk")
 both("url_cap_distinct", lambda s, d: (lambda p: positions(p, "first").where("position < 40").select("host", "first", "position"))(table(s, d, "pages").groupBy(F.regexp_extract("url", r"^https?://([^/]*)", 1).alias("host")).agg(F.min("page_id").alias("first"))),
      "SELECT host, first, row_number() OVER (ORDER BY first) - 1 AS position FROM (SELECT regexp_extract(url, '^https?://([^/]*)', 1) AS host, min(page_id) AS first FROM pages GROUP BY 1) t QUALIFY row_number() OVER (ORDER BY first) <= 40")
+both("page_urls_capped", lambda s, d: crawl.capped_urls(table(s, d, "pages"), "url", "page_id"),
+     f"""WITH u AS (SELECT url, min(page_id) AS first FROM pages WHERE url IS NOT NULL AND page_id IS NOT NULL GROUP BY url)
+     SELECT url, first, row_number() OVER (ORDER BY first, url) - 1 AS position, greatest((SELECT count(*) FROM u) - {crawl.MAX_URLS}, 0) AS left_out FROM u QUALIFY row_number() OVER (ORDER BY first, url) <= {crawl.MAX_URLS}""")
 
 # Structured data
 _BLOCKS_SQL = f"block AS (SELECT page_id, unnest(regexp_extract_all(head, {technical.JSON_LD!r}, 1)) AS json FROM {PAGES_FROM} p)".replace("\\\\", "\\")

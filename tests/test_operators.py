@@ -179,3 +179,11 @@ def test_structured_data_has_to_be_seen(spark):
     rows = [(1, "<title>My Page</title>" + block % "my page", "<p>x</p>"), (2, block % "gone", "<p>x</p>"), (3, block % "In Text", "<p>words in  text</p>"), (4, '<script type="application/ld+json">{bad</script>', "x"), (5, "", "x")]
     out = apply(spark.createDataFrame(rows, "page_id bigint, head string, html string"), technical.audit(), ["page_id", "f_structured_data"])
     assert [r.f_structured_data for r in out.orderBy("page_id").collect()] == ["pass", "warn", "pass", "fail", "not_applicable"]
+
+
+def test_distinct_urls_are_capped_and_the_rest_is_counted(spark):
+    rows = [(5, "https://a.example/1"), (1, "https://a.example/2"), (2, "https://a.example/1"), (3, "https://b.example/"), (4, None), (6, "https://a.example/3")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    got = sorted((r.position, r.first, r.url, r.left_out) for r in crawl.capped_urls(pages, "url", "page_id", 2).collect())
+    assert [(p, f, u, n) for p, f, u, n in got] == [(0, 1, "https://a.example/2", 2), (1, 2, "https://a.example/1", 2)]
+    assert {r.left_out for r in crawl.capped_urls(pages, "url", "page_id").collect()} == {0} and crawl.capped_urls(pages, "url", "page_id").count() == 4
