@@ -6,8 +6,8 @@ numbered in document order. A suffix's rank is the number of suffixes before its
 rank by the rank 2^k lines further on (or the end of the repeated lines, which sorts first), so after it a group is an
 interval of longest common prefix of at least 2^(k+1) lines, or of suffixes equal to their end. Rounds stop when no two
 places share a run as long as the next power of two. Every interval keeps its first place. A place deletes the longest
-run of 1, 2, 4, 8, ... lines from it that begins earlier elsewhere and has at least `min_words` words; runs of other
-lengths are the union of the power-of-two runs in them, so maximal repeated runs go whole.
+run of 1, 2, 4, 8, ... lines from it that begins earlier elsewhere and has at least `min_words` words. A run of another
+length goes only as far as power-of-two runs in it have `min_words` words each: of lines of 40, 2 and 2 words the last stays.
 
 Groups are split through counts of distinct (rank, next rank) pairs and two levels of running sums, so that no window
 holds all occurrences of a line however common it is. Texts move once, when the lines are deleted.
