@@ -2,19 +2,25 @@
 
 A document is the sequence of its lines that aren't blank, each named by a hash of its trimmed text. Only lines that
 occur at two places or more can be part of a repeated run, so only their places enter the suffix array. Places are
-numbered in document order. A suffix's rank is the number of suffixes before its group; round k splits groups of equal
-rank by the rank 2^k lines further on (or the end of the repeated lines, which sorts first), so after it a group is an
-interval of longest common prefix of at least 2^(k+1) lines, or of suffixes equal to their end. Rounds stop when no two
-places share a run as long as the next power of two. Every interval keeps its first place. A place deletes the longest
-run of 1, 2, 4, 8, ... lines from it that begins earlier elsewhere and has at least `min_words` words. A run of another
-length goes only as far as power-of-two runs in it have `min_words` words each: of lines of 40, 2 and 2 words the last stays.
+numbered in document order, with a free number between documents. A suffix's rank is the number of suffixes before its
+group; round k splits groups of equal rank by the rank 2^k lines further on (or the end of the repeated lines, which
+sorts first), so after it a group is an interval of longest common prefix of at least 2^(k+1) lines, or of suffixes
+equal to their end. Rounds stop when no two places share a run as long as the next power of two.
+
+Every interval keeps its first place, and every other place deletes the longest run that begins earlier elsewhere, if
+that run has at least `min_words` words. How long it is follows from the intervals: the last round in which a place
+isn't the first of its group bounds it by powers of two, and the tree of prefixes between the two is then halved with the
+ranks of the smaller rounds. A node of that tree is kept as the first places of the classes it splits into, so each
+halving step handles at most two rows for each class, however often a run is repeated.
 
 Groups are split through counts of distinct (rank, next rank) pairs and two levels of running sums, so that no window
 holds all occurrences of a line however common it is. Texts move once, when the lines are deleted.
 
 Defined results: documents are in order of doc_id (null first), then of a hash of their text; rows that repeat both are
-one document and share its fate. Null texts stay null and empty ones empty. Words are counted by single blanks. Blank
-lines are never deleted and don't end a run. A document that loses every line that isn't blank has the text ''.
+one document and share its fate. Null texts stay null and empty ones empty; an empty table gives an empty one. A run may overlap its
+earlier copy in one document. Words are counted by single blanks. Blank lines are never deleted and don't end a run. A
+document that loses every line that isn't blank has the text ''. Texts are taken whole, however long; a text's lines are in one
+row, as the text is. Other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -29,7 +35,10 @@ _TRIMMED = r"trim(both ' \t\r' from x)"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(place, d, ix, h, words, doc_id, th): the lines that aren't blank, numbered in document order. d: place of the document's first."""
+    """(place, d, ix, h, words, doc_id, th): the lines that aren't blank, numbered in document order. d: place of the document's first.
+
+    The number after a document's last line is free.
+    """
     per_doc = docs.where(F.col("text").isNotNull()).select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.xxhash64("text").alias("th"),
@@ -39,9 +48,10 @@ def _lines(docs: DataFrame) -> DataFrame:
         ).alias("lines"),
     )
     ordered = per_doc.dropDuplicates(["doc_id", "th"]).repartitionByRange(partitions(docs.sparkSession), "doc_id", "th").sortWithinPartitions("doc_id", "th")
-    exploded = ordered.select("doc_id", "th", F.posexplode("lines").alias("pos", "s"))
+    gap = F.expr("concat(lines, array(struct(-1 AS ix, 0L AS h, 0 AS words, true AS blank)))")
+    exploded = ordered.select("doc_id", "th", F.posexplode(gap).alias("pos", "s"))
     numbered = exploded.select(F.monotonically_increasing_id().alias("place"), "pos", "s.ix", "s.h", "s.words", "doc_id", "th")
-    return written(numbered.withColumn("d", F.expr("place - pos")).drop("pos"), "lines")
+    return written(numbered.where("ix >= 0").withColumn("d", F.expr("place - pos")).drop("pos"), "lines")
 
 
 def _starts(groups: DataFrame, within: list[str], by: str, bits: int) -> DataFrame:
@@ -58,50 +68,80 @@ def _starts(groups: DataFrame, within: list[str], by: str, bits: int) -> DataFra
     return joined.withColumn("start", F.coalesce("inner", F.lit(0)) + F.coalesce("outer", F.lit(0))).drop("slice", "inner", "outer")
 
 
-def suffix_array(lines: DataFrame, min_words: int) -> DataFrame:
-    """(place, d, ix, rank, n, cover): repeated lines in their suffix array, ordered by (rank, place).
+def suffix_array(lines: DataFrame) -> list[DataFrame]:
+    """Round by round, (place, d, rank, n, first, above): repeated lines in their suffix array after 2^k lines, ordered by (rank, place).
 
-    n is the size of the suffix's last group; cover is the number of lines that a run from here deletes.
+    n is the size of the suffix's group and first its smallest place; above is the group's first place in the round before, where that group had others.
     """
     repeated = lines.groupBy("h").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1")
     ranked = _starts(repeated, [], "h", 52).withColumnRenamed("start", "rank")
-    placed = lines.select("place", "d", "ix", "h", "words").join(ranked, "h").select("place", "d", "ix", "words", "rank", "n", (F.col("place") > F.col("first")).alias("later"), F.lit(0).alias("cover"))
-    width, before = 1, None
+    placed = lines.select("place", "d", "h").join(ranked, "h").select("place", "d", "rank", "n", "first", F.lit(None).cast("bigint").alias("above"))
+    rounds: list[DataFrame] = []
+    width = 1
     while True:
         w = Window.partitionBy("d").orderBy("place")
-        upto = F.sum("words").over(w)
-        run = placed.withColumn("upto", upto).select(
-            "*",
-            (F.lead("place", width - 1).over(w) == F.col("place") + (width - 1)).alias("full") if width > 1 else F.lit(True).alias("full"),
-            (F.lead("upto", width - 1).over(w) - F.col("upto") + F.col("words")).alias("run_words"),
-            F.when(F.lead("place", width).over(w) == F.col("place") + width, F.lead("rank", width).over(w)).otherwise(F.lit(-1)).alias("next"),
-        )
-        deletes = F.col("full") & F.col("later") & (F.col("run_words") >= min_words)
-        table = written(
-            run.select("place", "d", "ix", "words", "rank", "n", F.when(deletes, F.lit(width)).otherwise(F.col("cover")).alias("cover"), "next", (F.coalesce("full", F.lit(False)) & (F.col("n") > 1) & (F.col("next") >= 0)).alias("open")),
-            "suffixes",
-        )
-        if before is not None:
-            discard(before)
-        before = table
-        if not table.where("open").limit(1).count():
-            return table.drop("next", "open", "words")
+        following = F.when(F.lead("place", width).over(w) == F.col("place") + width, F.lead("rank", width).over(w)).otherwise(F.lit(-1))
+        table = written(placed.withColumn("next", following), "suffixes")
+        rounds.append(table)
+        if not table.where("n > 1 AND next >= 0").limit(1).count():
+            return rounds
         pairs = table.where("n > 1").groupBy("rank", "next").agg(F.count("*").alias("n"), F.min("place").alias("first"))
         split = _starts(pairs, ["rank"], "next", 16).select("rank", "next", "n", "first", (F.col("rank") + F.col("start")).alias("new"))
-        kept = ["place", "d", "ix", "words"]
-        renamed = table.where("n > 1").drop("n").join(split, ["rank", "next"]).select(*kept, F.col("new").alias("rank"), "n", (F.col("place") > F.col("first")).alias("later"), "cover")
-        placed = renamed.unionByName(table.where("n = 1").select(*kept, "rank", "n", F.lit(False).alias("later"), "cover"))
+        renamed = table.where("n > 1").select("place", "d", "rank", "next", F.col("first").alias("above")).join(split, ["rank", "next"]).select("place", "d", F.col("new").alias("rank"), "n", "first", "above")
+        placed = renamed.unionByName(table.where("n = 1").select("place", "d", "rank", "n", "first", F.lit(None).cast("bigint").alias("above")))
         width *= 2
 
 
+def _between(rounds: list[DataFrame]) -> DataFrame | None:
+    """(place, size): the longest run that begins earlier elsewhere, of places that are first of their group in the last round.
+
+    A row (m, node, place) stands for a class: node, the first place of all that share m lines, splits within the next
+    2^j lines into classes of which place is the first. Halving gives the classes that share the first half's lines a
+    node of their own and leaves the first class of each such group in the old one; nodes of one class are done.
+    """
+    open_: DataFrame | None = None
+    for j in range(len(rounds) - 2, -1, -1):
+        new = rounds[j + 1].where("above IS NOT NULL AND place = first").select(F.lit(2**j).cast("bigint").alias("m"), F.col("above").alias("node"), "place")
+        now = new if open_ is None else new.unionByName(open_)
+        if j == 0:
+            found = written(now.where("place > node").select("place", F.col("m").alias("size")), "between")
+            if open_ is not None:
+                discard(open_)
+            return found
+        half = 2 ** (j - 1)
+        at = rounds[j - 1].select(F.col("place").alias("to"), F.col("rank").alias("b"))
+        halved = now.withColumn("to", F.col("place") + F.col("m")).join(at, "to", "left").select("m", "node", "place", F.coalesce("b", F.lit(-1)).alias("b"))
+        middle = halved.groupBy("m", "node", "b").agg(F.min("place").alias("mid"), F.count("*").alias("c"))
+        parted = middle.groupBy("m", "node").agg(F.count("*").alias("k")).where("k > 1").drop("k")
+        low = middle.join(parted, ["m", "node"]).select("m", "node", F.col("mid").alias("place"))
+        high = halved.join(middle.where("c > 1"), ["m", "node", "b"]).select((F.col("m") + half).alias("m"), F.col("mid").alias("node"), "place")
+        table = written(low.unionByName(high), "between")
+        if open_ is not None:
+            discard(open_)
+        open_ = table
+    return None
+
+
 def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, th, gone): the indexes of the lines that each document loses; th is the hash of its text."""
     lines = _lines(docs)
-    suffixes = suffix_array(lines, min_words)
+    rounds = suffix_array(lines)
     w = Window.partitionBy("d").orderBy("place")
-    gone = suffixes.withColumn("reach", F.max(F.expr("place + cover")).over(w)).where("reach > place").groupBy("d").agg(F.collect_list("ix").alias("gone"))
+    there = lines.select("place", "ix", "words").join(rounds[0].select("place", "d"), "place")
+    counted = there.select("*", F.sum("words").over(w).alias("upto"), (F.col("place") - F.row_number().over(w)).alias("island"))
+    base = written(counted.withColumn("end", F.max("place").over(Window.partitionBy("d", "island"))).drop("island"), "base")
+    whole = rounds[-1].where("place > first").select("place", F.lit(None).cast("bigint").alias("size"))
+    between = _between(rounds)
+    runs = whole if between is None else whole.unionByName(between)
+    begun = runs.join(base, "place").select("place", "d", F.coalesce(F.col("place") + F.col("size") - 1, "end").alias("last"), (F.col("upto") - F.col("words")).alias("before"))
+    enough = begun.join(base.select(F.col("place").alias("last"), "upto"), "last").where(F.col("upto") - F.col("before") >= min_words).select("place", "last")
+    reach = base.select("place", "d", "ix").join(enough, "place", "left").withColumn("reach", F.max("last").over(w))
+    gone = reach.where("reach >= place").groupBy("d").agg(F.collect_list("ix").alias("gone"))
     heads = lines.where("place = d").select("d", "doc_id", "th")
-    return gone.join(heads, "d").select("doc_id", "th", "gone")
+    result = written(gone.join(heads, "d").select("doc_id", "th", "gone"), "gone")
+    for t in (lines, *rounds, base, *([between] if between is not None else [])):
+        discard(t)
+    return result
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -137,10 +177,10 @@ SQL = {
 WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS o, doc_id, text FROM documents),
 raw AS (SELECT o, ix, trim(x, ' ' || chr(9) || chr(13)) AS x FROM (SELECT o, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS ix FROM d WHERE text IS NOT NULL) t),
 line AS (SELECT o, ix, row_number() OVER (PARTITION BY o ORDER BY ix) AS pos, length(x) - length(replace(x, ' ', '')) + 1 AS words, dense_rank() OVER (ORDER BY x) AS id FROM raw WHERE x <> ''),
-seq AS (SELECT o, list(id ORDER BY pos) AS ids, list(words ORDER BY pos) AS ws FROM line GROUP BY o),
-width AS (SELECT CAST(2 ** k AS BIGINT) AS n FROM range(0, 30) t(k)),
-win AS (SELECT o, i, n, ids[i:i + n - 1] AS run, list_sum(ws[i:i + n - 1]) AS words FROM (SELECT o, ids, ws, n, unnest(range(1, len(ids) - n + 2)) AS i FROM seq, width WHERE n <= len(ids)) t),
-later AS (SELECT o, i, n FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY o, i) AS k FROM win) t WHERE k > 1 AND words >= {MIN_WORDS}),
+pair AS (SELECT a.o, a.pos, b.o AS q, a.pos - b.pos AS off FROM line a JOIN line b ON a.id = b.id AND (b.o < a.o OR b.o = a.o AND b.pos < a.pos)),
+island AS (SELECT *, pos - row_number() OVER (PARTITION BY o, q, off ORDER BY pos) AS g FROM pair),
+longest AS (SELECT o, pos, max(e) AS e FROM (SELECT o, pos, max(pos) OVER (PARTITION BY o, q, off, g) AS e FROM island) t GROUP BY o, pos),
+later AS (SELECT r.o, r.pos AS i, r.e - r.pos + 1 AS n FROM longest r JOIN line l ON l.o = r.o AND l.pos BETWEEN r.pos AND r.e GROUP BY r.o, r.pos, r.e HAVING sum(l.words) >= {MIN_WORDS}),
 gone AS (SELECT DISTINCT o, unnest(range(i, i + n)) AS pos FROM later),
 cut AS (SELECT o, ix FROM gone JOIN line USING (o, pos)),
 rest AS (SELECT d.o, string_agg(x, chr(10) ORDER BY ix) AS t, count(*) AS m FROM (SELECT o, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS ix FROM d WHERE text IS NOT NULL) l JOIN d USING (o) LEFT JOIN cut USING (o, ix) WHERE cut.ix IS NULL OR cut.o IS NULL GROUP BY d.o),

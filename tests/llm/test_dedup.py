@@ -101,12 +101,12 @@ def test_components_of_long_chains(spark):
 
 
 def _lines_brute(docs, min_words):
-    """Texts after deleting, from every place, repeated runs of 1, 2, 4, ... lines of enough words."""
+    """Texts after deleting, from every place, the longest run that an earlier place begins too, if it has enough words."""
     order = sorted({(d if d is not None else -(2**63), t) for d, t in docs if t is not None})
     seqs = [[(i, x.strip(" \t\r")) for i, x in enumerate(t.split("\n")) if x.strip(" \t\r")] for _, t in order]
-    seen, gone = set(), [set() for _ in order]
-    size, longest = 1, max((len(s) for s in seqs), default=0)
-    while size <= longest:
+    gone = [set() for _ in order]
+    longest = max((len(s) for s in seqs), default=0)
+    for size in range(1, longest + 1):
         seen = set()
         for k, s in enumerate(seqs):
             for a in range(len(s) - size + 1):
@@ -114,7 +114,6 @@ def _lines_brute(docs, min_words):
                 if run in seen and sum(x.count(" ") + 1 for x in run) >= min_words:
                     gone[k] |= {i for i, _ in s[a : a + size]}
                 seen.add(run)
-        size *= 2
     out = {}
     for (d, t), g in zip(order, gone):
         rest = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in g)
@@ -137,6 +136,19 @@ def test_line_dedup_equals_brute_force(spark, seed):
     assert sum(n for *_, n in got) > 100
 
 
+def test_maximal_runs_of_any_length_go_whole(spark):
+    rng = random.Random(7)
+    long = [f"c{i} x" for i in range(45)]
+    rows = [(0, "\n".join(long)), (1, "own\n" + "\n".join(long[3:40]) + "\nother"), (2, "\n".join(long[5:16])), (3, "\n".join(long[30:33])), (4, "\n".join(long[9:12]) + "\nmine\n" + "\n".join(long[:7])), (5, "\n".join(["same x"] * 29)), (6, "\n".join(["same x"] * 11 + ["end of it"]))]
+    rows += [(7, "a b c\nd e f\ng h i"), (8, "z\na b c\nd e f\ng h i"), (9, "p\n" + "w " * 39 + "w\nu v\ns t"), (10, "q\n" + "w " * 39 + "w\nu v\ns t\nr")]
+    rows += [(20 + i, "\n".join(f"l{rng.choice('abc')} y" for _ in range(rng.randint(0, 40)))) for i in range(25)]
+    docs = documents(spark, [(i, t, "en", "s", 1) for i, t in rows]).select("doc_id", "text")
+    want = _lines_brute(rows, L.MIN_WORDS)
+    got = rows_of(L.without_repeats(docs))
+    assert got == sorted((str(d), str(n), x) for (d, _), (x, n) in want.items()) == sql_rows(L.SQL["op10_line_dedup"], documents=docs)
+    assert want[8, rows[8][1]] == ("z", 3) and want[10, rows[10][1]] == ("q\nr", 3)
+
+
 def test_line_dedup_of_odd_rows(spark):
     docs = documents(spark)
     got = {(r.doc_id, r.text) for r in L.without_repeats(docs).collect()}
