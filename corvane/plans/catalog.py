@@ -14,6 +14,7 @@ from ..operators import crawl, evidence, jsonld, robots, scoring, site, technica
 from ..operators import pages as page_data
 from ..operators import scalar as S
 from ..sources import files, parsers
+from ..sources.tables import table
 from .corpora import MARKDOWN, MARKDOWN_FROM, PAGE_HEAD, PAGES_FROM, PATH, ROBOTS, ROBOTS_FROM
 
 TABLES = ("documents", "pages", "labels", "conversations", "benchmark")
@@ -21,12 +22,6 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived Markdown pages: (doc_id, path, content)."""
     return table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").selectExpr("doc_id", f"{PATH} AS path", f"{MARKDOWN} AS content")
