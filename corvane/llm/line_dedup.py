@@ -25,7 +25,7 @@ row, as the text is. Other columns, whatever their names, pass through.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, partitions, read_table, written
@@ -81,9 +81,10 @@ def suffix_array(lines: DataFrame) -> list[DataFrame]:
     while True:
         w = Window.partitionBy("d").orderBy("place")
         following = F.when(F.lead("place", width).over(w) == F.col("place") + width, F.lead("rank", width).over(w)).otherwise(F.lit(-1))
-        table = written(placed.withColumn("next", following), "suffixes")
+        seen = Observation()
+        table = written(placed.withColumn("next", following).observe(seen, F.count_if(F.expr("n > 1 AND next >= 0")).alias("open")), "suffixes")
         rounds.append(table)
-        if not table.where("n > 1 AND next >= 0").limit(1).count():
+        if not seen.get["open"]:
             return rounds
         pairs = table.where("n > 1").groupBy("rank", "next").agg(F.count("*").alias("n"), F.min("place").alias("first"))
         split = _starts(pairs, ["rank"], "next", 16).select("rank", "next", "n", "first", (F.col("rank") + F.col("start")).alias("new"))
@@ -97,7 +98,7 @@ def _between(rounds: list[DataFrame]) -> DataFrame | None:
 
     A row (m, node, place) stands for a class: node, the first place of all that share m lines, splits within the next
     2^j lines into classes of which place is the first. Halving gives the classes that share the first half's lines a
-    node of their own and leaves the first class of each such group in the old one; nodes of one class are done.
+    node of their own and leaves the first class of each such group in the old one.
     """
     open_: DataFrame | None = None
     for j in range(len(rounds) - 2, -1, -1):
@@ -112,8 +113,7 @@ def _between(rounds: list[DataFrame]) -> DataFrame | None:
         at = rounds[j - 1].select(F.col("place").alias("to"), F.col("rank").alias("b"))
         halved = now.withColumn("to", F.col("place") + F.col("m")).join(at, "to", "left").select("m", "node", "place", F.coalesce("b", F.lit(-1)).alias("b"))
         middle = halved.groupBy("m", "node", "b").agg(F.min("place").alias("mid"), F.count("*").alias("c"))
-        parted = middle.groupBy("m", "node").agg(F.count("*").alias("k")).where("k > 1").drop("k")
-        low = middle.join(parted, ["m", "node"]).select("m", "node", F.col("mid").alias("place"))
+        low = middle.select("m", "node", F.col("mid").alias("place"))
         high = halved.join(middle.where("c > 1"), ["m", "node", "b"]).select((F.col("m") + half).alias("m"), F.col("mid").alias("node"), "place")
         table = written(low.unionByName(high), "between")
         if open_ is not None:
