@@ -31,6 +31,22 @@ def test_exact_duplicates_of_nothing_and_with_extra_columns(spark):
     assert (2, 1) in {(r.doc_id, r.keep_id) for r in E.exact_duplicates(documents(spark)).collect()}
 
 
+def test_runs_travel_in_small_cells_too(spark, monkeypatch):
+    monkeypatch.setattr(E, "CELL", 4)
+    rng = np.random.default_rng(0)
+    runs = []
+    for _ in range(3):
+        r = np.zeros(40, E.RECORD)
+        r["key"], r["keep"], r["n"] = np.sort(rng.integers(0, 60, 40)), rng.integers(0, 1000, 40), 1
+        runs.append(E.merged([r]))
+    cells = sorted((r[i : i + 4] for r in runs for i in range(0, len(r), 4)), key=lambda c: c["key"][0])
+    parts = list(E._streamed(iter(cells)))
+    whole = np.concatenate(parts)
+    assert len(parts) > 3 and (np.diff(whole["key"].astype(np.int64)) > 0).all() and (whole == E.merged(runs)).all()
+    sent = [b for b in E._exchanged(iter(parts), 2, 1, 2, 3)]
+    assert all(len(b.column(2)[0].as_py()) <= 8 * E.RECORD.itemsize for b in sent) and {b.column(0)[0].as_py() for b in sent} <= {0, 2}
+
+
 def test_merge_keeps_the_smallest_verified_identifier():
     run = np.zeros(5, E.RECORD)
     run["key"], run["sha"], run["keep"], run["n"] = [7, 7, 7, 1, 7], [b"a", b"b", b"a", b"c", b"a"], [5, 2, 3, 9, 4], [1, 1, 2, 1, 1]
@@ -74,10 +90,11 @@ def _corpus(seed=5, families=40):
     return out
 
 
-def test_near_duplicates_recall_and_precision_against_brute_force(spark):
+@pytest.mark.parametrize("wide", [D.WIDE, 3])
+def test_near_duplicates_recall_and_precision_against_brute_force(spark, wide):
     texts = _corpus()
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], documents(spark).schema).repartition(4)
-    group = {r.doc_id: r.keep_id for r in D.near_duplicates(docs).collect()}
+    group = {r.doc_id: r.keep_id for r in D.near_duplicates(docs, wide=wide).collect()}
     bags, _, _ = _bags(texts)
     near = [(i, j) for i in range(len(texts)) for j in range(i) if bags[i].keys() & bags[j].keys() and _weighted_jaccard(bags[i], bags[j]) >= D.THRESHOLD]
     together = [group.get(i, i) == group.get(j, j) for i, j in near]
@@ -86,6 +103,31 @@ def test_near_duplicates_recall_and_precision_against_brute_force(spark):
         assert keep < i and any(_weighted_jaccard(bags[i], b) >= D.THRESHOLD - 0.15 for j, b in enumerate(bags) if j != i)
 
 
+def test_a_shared_passage_does_not_make_pairs_quadratic(spark, monkeypatch):
+    compared = []
+
+    def counting(pairs, *rest):
+        kept = D.written(pairs, "pairs")
+        compared.append(kept.count())
+        return real(kept, *rest)
+
+    real = D._verified
+    monkeypatch.setattr(D, "_verified", counting)
+    rng = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [passage + " " + " ".join(f"u{rng.random()}" for _ in range(70)) for _ in range(1600)]
+    for i in range(0, 1600, 40):  # a near copy of every 40th
+        texts[i + 1] = texts[i].replace("p30", "other")
+    found = {}
+    for n in (400, 1600):
+        compared.clear()
+        docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts[:n])], documents(spark).schema).repartition(4)
+        group = {r.doc_id: r.keep_id for r in D.near_duplicates(docs, wide=12).collect()}
+        assert all(group.get(i + 1) == i for i in range(0, n, 40)) and len(group) < n / 20
+        found[n] = sum(compared)
+    assert found[1600] < 6 * found[400], found
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = {(r.doc_id, r.keep_id) for r in D.near_duplicates(documents(spark)).collect()}
     assert {(2, 1), (8, 1)} <= got and not {3, 4, 5, 6, 7, 9, None} & {d for d, _ in got}
