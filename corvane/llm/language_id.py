@@ -1,17 +1,19 @@
 """Language identification by language-bitmask n-gram filters.
 
 One Bloom filter a language over byte n-grams, stored bit-sliced: the m positions of all filters lie side by side, a
-position being a bitmask with the bit of each language whose filter has it set. One look-up of an n-gram ANDs the masks
+position being a bitmask with the bit of each language whose filter has it set (a word of 64 bits for each 64 languages). One look-up of an n-gram ANDs the masks
 of its k positions and so gives all languages that contain it. A text's n-grams are counted by language (the
 popcount of each mask bit over the text); as filter l answers wrongly for a share f_l = fill_l^k of the n-grams that it doesn't hold,
 the count c_l of n n-grams is corrected to (c_l - n f_l) / (1 - f_l). The largest corrected share decides.
 
-Filters are filled with the n-grams that occur at least twice in a bounded sample (`per_language` documents of lowest id
-hash for each language, a parameter) of rows with a language. All n-grams of all texts are looked up.
+Filters are filled with the n-grams that occur at least twice in a bounded sample (`per_language` different documents of
+lowest id and text hash for each language, a parameter) of rows with a language. All n-grams of all texts are looked up.
 
 Defined results: a text without an n-gram (null, empty, or too short once padded by a blank at both ends) and one
 none of whose languages keeps a positive corrected count are 'und', with share 0. Ties go to the language first in
-alphabet. Null languages train nothing; without any language all is 'und'. Null doc_ids stay. Other columns are ignored.
+alphabet. Null languages train nothing; without any language all is 'und'; an empty table gives an empty one. Null doc_ids
+stay, and rows that repeat get equal rows; in the sample a repeated row counts once. Texts are read whole, however long.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -52,19 +54,19 @@ def grams(column: pa.Array, n: int = N) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Filters:
     languages: list[str]
-    masks: np.ndarray  # of the m positions
+    masks: np.ndarray  # (words, m): of the m positions, 64 languages a word
     wrong: np.ndarray  # false-positive share by language
 
     def positions(self, h: np.ndarray) -> Iterator[np.ndarray]:
         step = (h >> np.uint64(32)) | np.uint64(1)
         for i in range(HASHES):
-            yield ((h + np.uint64(i) * step) & np.uint64(len(self.masks) - 1)).astype(np.int64)
+            yield ((h + np.uint64(i) * step) & np.uint64(self.masks.shape[1] - 1)).astype(np.int64)
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
-        """Bitmask of the languages that contain each n-gram."""
+        """(words, n-grams): bitmask of the languages that contain each n-gram."""
         out = None
         for p in self.positions(h):
-            out = self.masks[p] if out is None else out & self.masks[p]
+            out = self.masks[:, p] if out is None else out & self.masks[:, p]
         return out
 
     def counts(self, h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,34 +76,33 @@ class Filters:
         out = np.zeros((n, len(self.languages)))
         edge = np.concatenate([[0], np.cumsum(total)]).astype(np.int64)
         for j in range(len(self.languages)):
-            upto = np.concatenate([[0], np.cumsum((mask >> np.uint64(j)) & np.uint64(1), dtype=np.int64)])
+            upto = np.concatenate([[0], np.cumsum((mask[j >> 6] >> np.uint64(j & 63)) & np.uint64(1), dtype=np.int64)])
             hits = upto[edge[1:]] - upto[edge[:-1]]
             out[:, j] = (hits - total * self.wrong[j]) / (1 - self.wrong[j])
         return out, total
 
 
 def filled(samples: dict[str, np.ndarray]) -> Filters:
-    """Filters of the n-grams (hashes) of up to 64 languages."""
+    """Filters of the n-grams (hashes) of any number of languages."""
     languages = sorted(samples)
-    if len(languages) > 64:
-        raise ValueError("a bitmask holds 64 languages at most")
     most = max((len(x) for x in samples.values()), default=0)
     m = 1 << max(10, int(BITS_PER_GRAM * most).bit_length())
-    out = Filters(languages, np.zeros(m, np.uint64), np.zeros(len(languages)))
+    out = Filters(languages, np.zeros((max(1, -(-len(languages) // 64)), m), np.uint64), np.zeros(len(languages)))
     for j, language in enumerate(languages):
         for p in out.positions(samples[language]):
-            np.bitwise_or.at(out.masks, p, np.uint64(1 << j))
-        out.wrong[j] = (((out.masks >> np.uint64(j)) & np.uint64(1)).mean()) ** HASHES
+            np.bitwise_or.at(out.masks[j >> 6], p, np.uint64(1 << (j & 63)))
+        out.wrong[j] = (((out.masks[j >> 6] >> np.uint64(j & 63)) & np.uint64(1)).mean()) ** HASHES
     return out
 
 
 def trained(docs: DataFrame, per_language: int = PER_LANGUAGE, n: int = N) -> Filters:
     """Filters from the languages in column lang. A language's sample is bounded, so its n-grams are collected."""
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").select("lang", F.col("doc_id").cast("bigint").alias("doc_id"))
-    chosen = ids.withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_language).select("doc_id").distinct()
-    # At most per_language ids of each of 64 languages: bounded, so safe to broadcast.
-    sample = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id", "left_semi")
+    key = ["doc_id", "th"]
+    w = Window.partitionBy("lang").orderBy(F.xxhash64(*key), *key)
+    known = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL").select("lang", F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    chosen = known.select("lang", *key).distinct().withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_language).drop("k")
+    # At most per_language keys for each language: broadcast only if Spark finds them small. Of rows that repeat one is taken.
+    sample = known.join(chosen, ["lang", *key], "left_semi").groupBy("lang", *key).agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in chunks(batches, "text", 1 << 20):
