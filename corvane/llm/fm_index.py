@@ -7,17 +7,18 @@ indexed: suffix array by prefix doubling, Burrows-Wheeler transform in a wavelet
 few symbols. All phrases are searched backward at once; occurrences are located by walking to the next sample, and
 overlapping or adjoining ones of a document merge into removal spans. Nothing is shuffled: shards are built, searched
 and dropped where their texts are read. Phrases are collected in slices of bounded size and reach executors as files,
-so neither the driver nor a task holds more than one slice.
+so neither the driver nor a task holds more than one slice: with several, a task reads one after the other for each shard.
 
 Words are compared without case; see arrays.words(). Defined results: a null or empty text has no span; a null doc_id
-gives spans with a null doc_id; benchmark rows with a null item_id or text are ignored and repeated ones change
-nothing; an empty benchmark or corpus gives no spans. Other columns pass through decontaminate() untouched.
+gives spans with a null doc_id; rows that repeat have equal spans; benchmark rows with a null item_id or text are
+ignored and repeated ones change nothing; items that share a phrase are all named; an empty benchmark or corpus gives no
+spans. A text is never cut between shards, however long. Other columns, whatever their names, pass through decontaminate() untouched.
 """
 
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -220,7 +221,7 @@ def merged_spans(start: np.ndarray, end: np.ndarray, doc: np.ndarray) -> tuple[n
     return start[at], np.maximum.reduceat(end, at) if len(at) else end, np.cumsum(new) - 1
 
 
-def _spans(table: pa.Table, loaded: list[dict[str, np.ndarray]]):
+def _spans(table: pa.Table, loaded: Iterable[dict[str, np.ndarray]]):
     """Removal spans of a shard in words, with what is needed to name or cut them."""
     hashes, doc, first, end = words(plain(table.column("text")))
     starts, ends, items = [], [], []
@@ -237,19 +238,27 @@ def _spans(table: pa.Table, loaded: list[dict[str, np.ndarray]]):
     return doc, first, end, a, b, span, item
 
 
-def _load(names: list[str]) -> list[dict[str, np.ndarray]]:
-    from pyspark import SparkFiles
+class _Slices:
+    """The slices of phrases, one after the other from files; a single one stays in memory."""
 
-    out = []
-    for name in names:
-        with np.load(SparkFiles.get(name)) as z:
-            out.append({k: z[k] for k in z.files})
-    return out
+    def __init__(self, names: list[str]):
+        self.names, self.held = names, None
+
+    def __iter__(self) -> Iterator[dict[str, np.ndarray]]:
+        from pyspark import SparkFiles
+
+        for name in self.names:
+            s = self.held
+            if s is None:
+                with np.load(SparkFiles.get(name)) as z:
+                    s = {k: z[k] for k in z.files}
+                self.held = s if len(self.names) == 1 else None
+            yield s
 
 
 def _report(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded = _load(names)
+        loaded = _Slices(names)
         for table in chunks(batches, "text", SHARD_BYTES):
             doc, _, _, a, b, span, item = _spans(table, loaded)
             if not len(a):
@@ -267,7 +276,7 @@ def _report(names: list[str]):
 
 def _cut(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded = _load(names)
+        loaded = _Slices(names)
         for table in chunks(batches, "text", SHARD_BYTES):
             column = plain(table.column("text"))
             doc, first, end, a, b, _, _ = _spans(table, loaded)
@@ -290,9 +299,9 @@ def _cut(names: list[str]):
     return run
 
 
-def leak_spans(docs: DataFrame, benchmark: DataFrame, n: int = N, least: int = LEAST) -> DataFrame:
+def leak_spans(docs: DataFrame, benchmark: DataFrame, n: int = N, least: int = LEAST, slice_words: int = SLICE_WORDS) -> DataFrame:
     """(doc_id, start_word, end_word, items): words [start_word, end_word) of a text, counted from 0, are of these items."""
-    names = shipped(docs.sparkSession, phrase_slices(benchmark, n, least))
+    names = shipped(docs.sparkSession, phrase_slices(benchmark, n, least, slice_words))
     return docs.select("doc_id", "text").mapInArrow(_report(names), "doc_id bigint, start_word bigint, end_word bigint, items string")
 
 
