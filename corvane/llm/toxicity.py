@@ -13,12 +13,16 @@ sentence of a clean one is clean; in a toxic one those sentences are taken as to
 in toxic documents or, anew after each fit, the worst unit (multiple-instance learning). As kernel values against landmarks are linear in subsequences, the fitted machine folds into
 one table of 32^3 numbers, and scoring is look-ups over whole buffers: one pass, no shuffle.
 
-Training uses bounded samples of labelled documents (`toxic`, `clean`: lowest id hash). The threshold is set on the third
+Training uses bounded samples of labelled documents (`toxic`, `clean`: lowest id hash, one text each). Of their units, positives are all
+that qualify; negatives are the NEGATIVES most usual clean units, as many by hash, and after each fit the HARD clean units that score highest:
+bounds on the labelled sample, for the driver's memory. The threshold is set on the third
 of them that no fit saw; that of windows, which no fit sees, so that WINDOW_ALARMS of all clean ones in the sample pass it. Letters are in lower case, accents follow them as letters of
 their own, and the bytes of other scripts share four classes.
 
 Defined results: null and empty texts, and those without a unit of 3 letters, have score null and are not toxic; a null
-doc_id stays; repeated rows score alike; without labels of both kinds nothing is toxic. Other columns are ignored.
+doc_id stays; repeated rows score alike; a document labelled twice is toxic if either label says so; a score of exactly 0 is not
+toxic; without labels of both kinds nothing is toxic; an empty table gives an empty one. Texts are read whole, however long: a
+unit of more than BLOCK characters is normalised block by block, its subsequences cross the blocks. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +43,7 @@ from .common import hash_order_sample, read_table
 TOXIC, CLEAN = 2000, 4000
 DECAY, SPAN, LANDMARKS, BLOCK = 0.8, 8, 384, 32
 WINDOW_ALARMS, SLICE = 0.01, 200_000
+NEGATIVES, HARD = 6000, 4000
 
 _LETTER = np.zeros(256, np.int32)  # 0: a gap
 _LETTER[97:123] = np.arange(1, 27)
@@ -330,7 +335,7 @@ def distinct_units(column: pa.Array) -> pa.Array:
 def _gapped(name: bytes) -> list[bytes]:
     """The unit with something inserted after every letter, and only in its middle."""
     x = name.strip(b"_")
-    return [(b"_" + y + b"_")[:BLOCK] for y in (b"@".join(x[i : i + 1] for i in range(len(x))), x[: len(x) // 2] + b"@" + x[len(x) // 2 :])]
+    return [b"_" + y + b"_" for y in (b"@".join(x[i : i + 1] for i in range(len(x))), x[: len(x) // 2] + b"@" + x[len(x) // 2 :])]
 
 
 def fitted(lists: pa.Array, toxic: np.ndarray, rounds: int = 4) -> Model:
@@ -359,7 +364,7 @@ def fitted(lists: pa.Array, toxic: np.ndarray, rounds: int = 4) -> Model:
     some = value > 1e-5 * value.max()
     root = (vector[:, some] / np.sqrt(value[some])).astype(np.float32)
     known = np.flatnonzero(in_clean > 0)
-    negative = np.union1d(usual[:6000][in_clean[usual[:6000]] > 0], spread[in_clean[spread] > 0][:6000])
+    negative = np.union1d(usual[in_clean[usual] > 0][:NEGATIVES], spread[in_clean[spread] > 0][:NEGATIVES])
     score, table, bias = merit, np.zeros(32**3), 0.0
     for r in range(rounds):
         mine, its = owner[bad], which[bad]
@@ -382,7 +387,7 @@ def fitted(lists: pa.Array, toxic: np.ndarray, rounds: int = 4) -> Model:
         every = np.concatenate([unit_scores(named(name[i : i + 50_000].tolist()), table) for i in range(0, len(name), 50_000)])
         score = np.nan_to_num(every, nan=-1e9) + bias
         if r + 1 < rounds:  # clean units that look worst join the negatives
-            negative = np.union1d(negative, known[np.argsort(-score[known], kind="stable")][:4000])
+            negative = np.union1d(negative, known[np.argsort(-score[known], kind="stable")][:HARD])
     top = np.full(len(lists), -1e9)
     np.maximum.at(top, owner, score[which])
     return Model(table.astype(np.float32), bias, _threshold(top[held], toxic[held]))
@@ -414,7 +419,7 @@ def trained(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int =
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     chosen = hash_order_sample(known.where("toxic = 1"), "doc_id", toxic).union(hash_order_sample(known.where("toxic = 0"), "doc_id", clean))
     # At most toxic + clean ids: bounded by the parameters, so safe to broadcast.
-    sample = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    sample = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in chunks(batches, "text", 1 << 20):
