@@ -29,14 +29,52 @@ def test_gram_positions_and_masks_against_sets():
     sets = {"a": rng.integers(0, 2**63, 500).astype(np.uint64), "b": rng.integers(0, 2**63, 900).astype(np.uint64)}
     f = I.filled(sets)
     for j, name in enumerate(f.languages):
-        assert ((f.lookup(sets[name]) >> np.uint64(j)) & np.uint64(1)).all()  # no false negatives
+        assert ((f.lookup(sets[name])[0] >> np.uint64(j)) & np.uint64(1)).all()  # no false negatives
     other = rng.integers(0, 2**63, 20000).astype(np.uint64)
-    shares = [((f.lookup(other) >> np.uint64(j)) & np.uint64(1)).mean() for j in range(2)]
+    shares = [((f.lookup(other)[0] >> np.uint64(j)) & np.uint64(1)).mean() for j in range(2)]
     assert all(abs(s - w) < 0.02 for s, w in zip(shares, f.wrong))
     counts, total = f.counts(np.concatenate([other, sets["a"]]), np.repeat([0, 1], [20000, 500]), 2)
     assert abs(counts[0]).max() < 300 and abs(counts[1, 0] - 500) < 1 and total.tolist() == [20000, 500]
 
 
+def _identified_by_sets(docs, per_language):
+    """Languages by exact sets of n-grams: what filters without false positives would say."""
+    import re
+    from collections import Counter
+
+    def grams(t):
+        b = f" {re.sub(r'[^a-z\x80-\U0010ffff]+', ' ', (t or '').lower()).strip(' ')} ".encode()
+        return [b[i : i + I.N] for i in range(len(b) - I.N + 1)]
+
+    counts = {}
+    for r in docs:
+        if r.lang is not None and r.text is not None and r.doc_id is not None:
+            counts.setdefault(r.lang, Counter()).update(grams(r.text))
+    sets = {k: {g for g, n in c.items() if n > 1} for k, c in counts.items()}
+    out = {}
+    for r in docs:
+        g = grams(r.text)
+        share = {k: sum(x in s for x in g) / len(g) for k, s in sorted(sets.items())} if g else {}
+        out[r.doc_id] = share
+    return out
+
+
+def test_languages_equal_exact_sets_and_pass_64(spark):
+    docs = read_table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "lang")
+    rows = docs.collect()
+    want = _identified_by_sets(rows, 10**6)
+    for r in I.identified(docs, I.trained(docs, per_language=10**6)).collect():
+        share = want[r.doc_id]
+        top = max(share.values(), default=0)
+        assert abs(r.share - top) < 0.02 and (r.language == "und" if top == 0 else share[r.language] >= top - 0.02)
+    own = [chr(97 + i // 26) * 2 + chr(97 + i % 26) * 2 for i in range(70)]
+    many = [(i, " ".join(f"{x}{c}zon {c}{x}lim o{c}t" for x in "pqr") + f" o{c}t", f"l{i:02}", None, 1) for i, c in enumerate(own)]
+    many = [(d, t + " " + t, *r) for d, t, *r in many]
+    df = documents(spark, many)
+    got = {r.doc_id: r.language for r in I.identified(df, I.trained(df)).collect()}
+    assert sum(got[i] == f"l{i:02}" for i in range(70)) >= 65
+
+
 def test_language_of_held_out_documents(spark):
     docs = read_table(spark, SF, "documents")
     filters = I.trained(docs.where("doc_id % 2 = 0"))
@@ -56,10 +94,36 @@ def test_risk_is_not_negative_and_prior_is_found():
     assert Q.nn_pu_risk(np.full(10, 9.0), np.full(10, 9.0), 0.9) >= 0
     rng = np.random.default_rng(0)
     gp, gu = rng.normal(3, 1, 4000), np.concatenate([rng.normal(3, 1, 2800), rng.normal(-3, 1, 1200)])
-    assert abs(Q.estimated_prior(gp, gu) - 0.7) < 0.06
+    assert abs(Q.estimated_prior(gp, Q._bins(gu)) - 0.7) < 0.06
     p, u = rng.normal(1, 1, (2000, 3)), np.concatenate([rng.normal(1, 1, (1400, 3)), rng.normal(-1, 1, (600, 3))])
-    w, b = Q.minimised(p, u, 0.7)
-    assert ((p @ w + b) > 0).mean() > 0.9 and ((u[1400:] @ w + b) < 0).mean() > 0.8
+    of = lambda w: Q._sums(Q.sums(u, w), 4)
+    w = Q.minimised(p, of, 0.7)
+    assert ((p @ w[:3] + w[3]) > 0).mean() > 0.9 and ((u[1400:] @ w[:3] + w[3]) < 0).mean() > 0.8
+    # No step in any direction lowers the risk by more than the tolerance: it is the least.
+    risk = lambda w: Q.nn_pu_risk(p @ w[:3] + w[3], u @ w[:3] + w[3], 0.7) + Q.RIDGE / len(p) * (w[:3] ** 2).sum() / 2
+    for _ in range(300):
+        assert risk(w + rng.normal(0, 0.2, 4)) > risk(w) - 1e-4
+    # With a prior far too high the unbiased risk has no least value; the negative part stays at 0 or above.
+    w = Q.minimised(p, of, 0.99)
+    assert np.logaddexp(0, u @ w[:3] + w[3]).mean() - 0.99 * np.logaddexp(0, p @ w[:3] + w[3]).mean() >= 0
+
+
+def test_quality_equals_training_in_one_place(spark):
+    """The whole query against features, sums and decisions made in this process."""
+    docs, labels = read_table(spark, "/root/testdata/sf0.001", "documents").repartition(15), read_table(spark, "/root/testdata/sf0.01", "labels")
+    rows = docs.select("doc_id", "text").collect()
+    good = {r.doc_id for r in labels.where("quality = 1").collect()}
+    texts = {r.doc_id: r.text for r in rows}
+    inked = [r for r in rows if (r.text or "").strip()]
+    u = Q.features(plain(pa.array([r.text for r in inked]))).astype(np.float16).astype(np.float32)
+    p = Q.features(plain(pa.array([texts[d] for d in sorted(good & set(texts)) if texts[d]])))
+    want = Q.fitted(p, lambda of: of(u))
+    model = Q.trained(docs, labels)
+    assert abs(model.prior - want.prior) < 1e-3 and np.allclose(model.weights, want.weights, atol=1e-2) and abs(model.limit - want.limit) < 1e-2
+    exact = dict(zip([r.doc_id for r in inked], want.score(Q.features(plain(pa.array([r.text for r in inked]))))))
+    for r in Q.scored(docs, model).collect():
+        assert (r.score is None) == (r.doc_id not in exact) and (r.score is None or abs(r.score - exact[r.doc_id]) < 0.05)
+        assert r.keep == (r.score is not None and r.score >= model.limit)
 
 
 def test_quality_of_held_out_labels(spark):

@@ -90,6 +90,9 @@ def test_packing_equals_best_fit_decreasing(length):
     row, n = P.best_fit_decreasing(sizes, length)
     room = length - np.bincount(row, weights=sizes, minlength=n)
     assert sorted(room.tolist()) == _fits(sizes.tolist(), length)[1]
+    # Ties go to the earlier piece: of equal sizes, rows open in order.
+    row, n = P.best_fit_decreasing(np.full(6, max(1, length // 2 + 1)), length)
+    assert row.tolist() == list(range(6)) and n == 6 or length == 1
 
 
 def test_packed_rows_give_every_token_back(spark):
@@ -109,6 +112,10 @@ def test_packed_rows_give_every_token_back(spark):
             seen.append((d, o, b - a))
     assert sum(n for *_, n in seen) == sum(len(x) for v in lists.values() for x in v)
     assert P.packed_documents(documents(spark, [])).count() == 0
+    # A text longer than the window is split losslessly, and its rows don't depend on the window.
+    one = documents(spark, [(6, LONG, "en", "b", 1)])
+    parts = {w: [(r.doc_offsets, bytes(r.input_ids)) for r in P.packed_documents(one, length=64, window=w).collect()] for w in (100, 10**6)}
+    assert parts[100] == parts[10**6] and len(parts[100]) > 100
 
 
 def _spans_brute(text, phrases):
@@ -170,6 +177,12 @@ def test_fm_index_counts_and_locates():
 def test_slices_of_phrases_find_the_same(spark):
     bench = spark.createDataFrame([(i, " ".join(f"p{i}q{j}" for j in range(12))) for i in range(9)], "item_id bigint, text string")
     assert len(list(M.phrase_slices(bench, M.N, M.LEAST, slice_words=30))) > 3
+    long = "so " * 300 + " ".join(f"p3q{j}" for j in range(12)) + " it" * 300
+    texts = [" ".join(f"p{i}q{j}" for j in range(2, 11)) + " and " + " ".join(f"p{(i + 4) % 9}q{j}" for j in range(12)) for i in range(9)] + [long, long]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, items string")
+    got = rows_of(M.leak_spans(docs, bench, slice_words=30))
+    assert got == rows_of(M.leak_spans(docs, bench)) == sql_rows(M.SQL["op7_decontamination"], documents=docs, benchmark=bench) and len(got) == 20
+    assert ("10", "312", "3", "300") in got
 
 
 def test_quotes_are_linked_and_equal_sql(spark):
@@ -192,6 +205,22 @@ def test_quotes_are_linked_and_equal_sql(spark):
     assert "I agree." in whole[1] and 4 not in whole
 
 
+def test_long_threads_and_long_quotes_equal_sql(spark):
+    rng = random.Random(8)
+    own = [f"message {i} says {rng.random()}\nand a second line {i}" for i in range(300)]
+    rows = [(1, 0, "a", own[0])]
+    for i in range(1, 300):
+        j = rng.randrange(max(0, i - 40), i)
+        quoted = "\n".join("> " + x for x in own[j].split("\n"))
+        nested = "\n".join("> > " + x for x in own[rng.randrange(j + 1)].split("\n"))
+        rows.append((1, i, "ab"[i % 2], f"{nested}\n{quoted}\n\n{own[i]}" if i % 3 else own[i]))
+    rows += [(2, 0, "a", LONG), (2, 1, "b", "\n".join("> " + x for x in LONG.split("\n")) + "\nok"), (3, 5, "a", "x"), (3, 5, "a", "x")]
+    conv = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(4)
+    got = C.linked(conv)
+    assert rows_of(got) == sql_rows(C.SQL["op2_quote_links"], conversations=conv)
+    assert got.where("conv_id = 1 AND n_linked > 0").count() > 150 and got.where("conv_id = 2 AND turn = 1").first().n_linked == 1
+
+
 def test_chunks_split_between_texts_only():
     batches = [pa.record_batch([pa.array(t, pa.string())], ["text"]) for t in (["a" * 10, None, "b" * 25, ""], [], ["c" * 100, "d"])]
     out = [t.column("text").to_pylist() for t in chunks(iter(batches), "text", 30)]
