@@ -59,6 +59,71 @@ def chunked(entries: DataFrame, key: str, size: int = MAX_URLS) -> DataFrame:
     return positions(entries, key, "__p").withColumn("chunk", F.floor(F.col("__p") / size)).drop("__p")
 
 
+def resolved_entries(entries: DataFrame, base: str, url: str = "url") -> DataFrame:
+    """entries with loc: addresses that begin with http stay, others follow the base."""
+    return entries.withColumn("loc", F.when(F.col(url).startswith("http"), F.col(url)).otherwise(F.concat(F.lit(base), F.col(url))))
+
+
+def lastmod(explicit: str, modified: str) -> str:
+    """The date of an entry, in SQL: an explicit one that is a date, else the file's (a timestamp), else null."""
+    return f"coalesce(CAST(TRY_CAST({explicit} AS DATE) AS STRING), CAST(CAST({modified} AS DATE) AS STRING))"
+
+
+def index_entries(entries: DataFrame, key: str, base: str, size: int = MAX_URLS) -> DataFrame:
+    """(chunk, loc, lastmod) of the files of an index: their addresses and the greatest date in each; one file needs no index, and then there is no row."""
+    files = chunked(entries, key, size).groupBy("chunk").agg(F.max("lastmod").alias("lastmod"))
+    many = files.agg(F.count("*").alias("__m"))  # one row
+    return files.crossJoin(F.broadcast(many)).where("__m > 1").select("chunk", F.concat(F.lit(base.rstrip("/") + "/sitemap-"), (F.col("chunk") + 1).cast("string"), F.lit(".xml")).alias("loc"), "lastmod")
+
+
+def image_entries(pages: DataFrame, key: str, html: str = "html", url: str = "url") -> DataFrame:
+    """(key, ord, loc, image): http images of each page, once each, in the order of the page, for the image extension."""
+    found = F.expr(rf"array_distinct(filter(regexp_extract_all({html}, r'(?i)<img\s[^>]*src=[\x22\x27]([^\x22\x27]*)[\x22\x27]', 1), i -> i RLIKE '(?i)^https?://'))")
+    return pages.select(key, F.posexplode(found).alias("ord", "image"), F.col(url).alias("loc")).select(key, F.col("ord").cast("bigint").alias("ord"), "loc", "image")
+
+
+def error_page(path: str) -> str:
+    """Whether a path names an error page, which no sitemap lists (SQL)."""
+    return f"(lower(regexp_extract({path}, '([^/]*)$', 1)) IN ('404.html', '404.md', '404.htm', '500.html'))"
+
+
+def sitemap_entries(files: DataFrame, key: str, xml: str = "xml") -> DataFrame:
+    """(key, ord, kind, loc, lastmod, issue) of what sitemaps list: kind is 'url' or 'sitemap'; issue is null, 'scheme' or 'invalid'. Entries without an address have no row.
+
+    Broken markup is read as far as its tags go.
+    """
+    parts = F.expr(r"regexp_extract_all(%s, r'(?is)<(?:url|sitemap)(?:\s[^>]*)?>.*?</(?:url|sitemap)\s*>', 0)" % xml)
+    each = files.select(key, F.posexplode(parts).alias("ord", "e"))
+    value = lambda tag: F.expr(r"regexp_replace(regexp_extract(e, r'(?is)<%s(?:\s[^>]*)?>(?:\s*<!\[CDATA\[)?(.*?)(?:\]\]>\s*)?</%s\s*>', 1), r'^\s+|\s+$', '')" % (tag, tag))
+    text = value("loc")
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    rows = each.select(key, F.col("ord").cast("bigint").alias("ord"), F.when(F.col("e").rlike("(?i)^<sitemap"), "sitemap").otherwise("url").alias("kind"), text.alias("loc"), F.nullif(value("lastmod"), F.lit("")).alias("lastmod")).where("loc <> ''")
+    issue = F.when(F.col("loc").rlike(r"(?i)^https?://[^\s/?#]+"), None).when(F.col("loc").rlike(r"(?i)^[a-z][a-z0-9+.-]*:") & ~F.col("loc").rlike(r"(?i)^https?:"), "scheme").otherwise("invalid")
+    return rows.withColumn("issue", issue)
+
+
+def sitemap_verdicts(files: DataFrame, key: str, xml: str = "xml", most: int = MAX_URLS) -> DataFrame:
+    """(key, urls, sitemaps, skipped, no_root, over, valid) of each sitemap."""
+    n = lambda c: F.count_if(c).cast("bigint")
+    per = sitemap_entries(files, key, xml).groupBy(key).agg(n(F.col("issue").isNull() & (F.col("kind") == "url")).alias("urls"), n(F.col("issue").isNull() & (F.col("kind") == "sitemap")).alias("sitemaps"), n(F.col("issue").isNotNull()).alias("skipped"))
+    rooted = files.select(key, (~F.col(xml).rlike(r"(?i)<(?:urlset|sitemapindex)[\s>]")).alias("no_root")).join(per, key, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    out = rooted.select(key, zero("urls"), zero("sitemaps"), zero("skipped"), "no_root").withColumn("over", F.col("urls") > most)
+    return out.withColumn("valid", F.expr("NOT no_root AND skipped = 0 AND urls + sitemaps > 0 AND NOT over"))
+
+
+def site_pipeline(listed: DataFrame, fetched: DataFrame, disallowed: DataFrame, most: int = 50) -> DataFrame:
+    """(url, state, content): addresses a sitemap lists (url, ord), in order, once each: those that robots.txt disallows (url) are 'blocked', of the others the first
+    `most` (the budget of a run, a parameter) are 'audited' with their content or 'failed' without, and the rest are 'skipped'. What is fetched comes as a table."""
+    once = listed.where("url IS NOT NULL").groupBy("url").agg(F.min("ord").alias("ord"))
+    open_ = positions(once.join(disallowed.select("url").distinct(), "url", "left_anti"), "ord")
+    blocked = once.join(disallowed.select("url").distinct(), "url", "left_semi").select("url", F.lit("blocked").alias("state"), F.lit(None).cast("string").alias("content"))
+    taken = open_.where(F.col("position") < most).join(fetched.groupBy("url").agg(F.min("content").alias("content")), "url", "left")
+    audited = taken.select("url", F.when(F.col("content").isNull(), "failed").otherwise("audited").alias("state"), "content")
+    return audited.unionByName(open_.where(F.col("position") >= most).select("url", F.lit("skipped").alias("state"), F.lit(None).cast("string").alias("content"))).unionByName(blocked)
+
+
 def sitemap_issues(d, xml: str) -> dict[str, str]:
     """Counts of what is wrong with a sitemap: declaration, root, namespace, addresses, frequencies, priorities, dates."""
     loc = d.every(xml, r"<loc>\s*([^<]*?)\s*</loc>", 1)

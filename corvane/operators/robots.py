@@ -53,6 +53,41 @@ def selected(parsed: DataFrame, targets: DataFrame, key: str) -> DataFrame:
     return best.withColumn("r", F.rank().over(w)).where("r = 1").select(key, "token", "grp")
 
 
+def matched_agents(parsed: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
+    """(key, token, agents): the product tokens of the chosen groups, each once whatever its case, as first written, in the file's order."""
+    ord_ = agents_in_order(parsed, key).join(chosen, [key, "grp"])
+    first = ord_.groupBy(key, "token", F.lower("agent").alias("low")).agg(F.min(F.struct("line", "pos", "agent")).alias("f"))
+    return first.groupBy(key, "token").agg(F.sort_array(F.collect_list("f")).alias("l")).select(key, "token", F.expr("array_join(transform(l, x -> x.agent), ',')").alias("agents"))
+
+
+def agents_in_order(parsed: DataFrame, key: str) -> DataFrame:
+    """(key, grp, line, pos, agent) of every product token."""
+    tokens = parsed.where("kind = 'agent'").select(key, "grp", "line", F.posexplode(F.split("value", ",")).alias("pos", "raw"))
+    return tokens.select(key, "grp", "line", "pos", F.expr(r"regexp_replace(raw, r'^\s+|\s+$', '')").alias("agent")).where("agent <> ''")
+
+
+def registry_audit(files: DataFrame, key: str, path: str = "/") -> DataFrame:
+    """(key, token, allowed, rule, warnings): the wildcard and every crawler of the registry for each file, with or without a group that names it. The registry is a fixed list."""
+    spark = files.sparkSession
+    parsed = rules(files, key)
+    targets = crawlers(spark).unionByName(spark.sql("SELECT '*' AS token, '' AS provider, '' AS purpose, true AS robots_applicable"))
+    asked = files.select(key, F.lit(path).alias("path"))
+    judged = verdicts(parsed, selected(parsed, targets, key), asked, key)
+    notes = F.expr("""array_join(array_compact(array(CASE WHEN NOT robots_applicable THEN 'may ignore robots.txt' END, CASE WHEN robots_applicable IS NULL OR purpose = 'legacy' THEN 'to be verified' END, CASE WHEN purpose = 'control' THEN 'control token' END)), '; ')""")
+    every = files.select(key).crossJoin(F.broadcast(targets))
+    return every.join(judged, [key, "token"], "left").select(key, "token", F.coalesce("allowed", F.lit(True)).alias("allowed"), F.coalesce("rule", F.lit("")).alias("rule"), notes.alias("warnings"))
+
+
+def url_policy(urls: DataFrame, files: DataFrame, agent: str, key: str, url: str = "url") -> DataFrame:
+    """(url, allowed) of each address for one agent, by its path and query; an address that isn't one, and a host without groups, allow. files has a row for each host (key)."""
+    spark = files.sparkSession
+    parsed = rules(files, key)
+    target = spark.createDataFrame([(agent,)], "token string")
+    parts = urls.withColumn(key, F.expr(rf"lower(regexp_extract({url}, r'(?i)^https?://([^/?#]+)', 1))")).withColumn("path", F.expr(rf"regexp_extract({url}, r'(?i)^https?://[^/?#]+([^#]*)', 1)")).withColumn("path", F.expr("CASE WHEN path = '' THEN '/' WHEN path LIKE '?%' THEN '/' || path ELSE path END"))
+    judged = verdicts(parsed, selected(parsed, target, key), parts.where(f"{key} <> ''").select(key, "path").distinct(), key).select(key, "path", "allowed")
+    return parts.join(judged, [key, "path"], "left").select(url, F.coalesce("allowed", F.lit(True)).alias("allowed"))
+
+
 _PATTERN = r"concat('^', regexp_replace(regexp_replace(regexp_replace(path, r'([.+?^${}()|\[\]\\])', r'\\$1'), r'\*', '.*'), r'\\\$$', r'\$'))"
 
 

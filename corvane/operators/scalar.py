@@ -6,6 +6,7 @@ import re
 
 from ..functions import text as T
 from ..functions.dialect import Spark
+from ..functions.layers import Layer
 
 _any, _words = T.any_of, T.any_word
 
@@ -91,6 +92,17 @@ def profile(d: Spark, counts: dict[str, str], fences: str, ext: str) -> tuple[st
     return case(1, "'editorial'"), case(2, "0.2e0")
 
 
+def profiles(content: str = "content") -> list[Layer]:
+    def counts(d: Spark) -> dict[str, str]:
+        return {f"signals_{p.replace('-', '_')}": signals(d, p, content, "lowered") for p in PROFILE_SIGNALS} | {"fences": d.count(content, "```")}
+
+    def chosen(d: Spark) -> dict[str, str]:
+        p, c = profile(d, {k: f"signals_{k.replace('-', '_')}" for k in PROFILE_SIGNALS}, "fences", "ext")
+        return {"profile": p, "confidence": c}
+
+    return [lambda d: {"lowered": f"lower({content})"}, counts, chosen]
+
+
 #: Which dimensions a profile has; unknown profiles have all.
 DIMENSIONS = tuple("structure statistics quotations citations clarity".split())
 PROFILES = {

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Findings of both models: (model, rule, severity expression over the columns of scoring.everything(); NULL is no finding).
+from . import scalar
+
+_STATS, _QUOTES = scalar.applicable("statistics", "profile"), scalar.applicable("quotations", "profile")
+#: Findings of both models: (model, rule, severity expression over the figures of audit.audited(); NULL is no finding).
 FINDINGS: tuple[tuple[str, str, str], ...] = (
     ("v1", "content.intro_definition", "CASE WHEN intro = '' THEN 'fail' WHEN v1_answer = 10 THEN 'pass' ELSE 'warn' END"),
     ("v1", "content.tables", "CASE WHEN v1_tables > 0 THEN 'pass' ELSE 'warn' END"),
@@ -21,31 +24,81 @@ FINDINGS: tuple[tuple[str, str, str], ...] = (
     ("v1", "content.acronym_clarity", "CASE WHEN acr_unexplained > 0 THEN 'warn' ELSE 'pass' END"),
     ("v2", "v2.structure.headings", "CASE WHEN heading_status <> 'pass' THEN 'warn' END"),
     ("v2", "v2.structure.empty_sections", "CASE WHEN section_status <> 'pass' THEN 'warn' END"),
-    ("v2", "v2.structure.answer_first", "CASE WHEN answer_status <> 'pass' THEN 'warn' END"),
-    ("v2", "v2.statistics.attribution", "CASE WHEN stat_total > stat_sourced THEN 'warn' END"),
-    ("v2", "v2.statistics.implausible", "CASE WHEN stat_total - stat_sourced >= 5 AND stat_sourced < 0.3e0 * stat_total THEN 'warn' END"),
-    ("v2", "v2.quotations.attribution", "CASE WHEN quote_total > quote_attributed THEN 'warn' END"),
-    ("v2", "v2.quotations.unattributed", "CASE WHEN quote_total >= 3 AND quote_attributed < 0.3e0 * quote_total THEN 'warn' END"),
+    ("v2", "v2.structure.answer_first", "CASE WHEN answer_status = 'fail' THEN 'warn' END"),
+    ("v2", "v2.statistics.attribution", f"CASE WHEN {_STATS} AND stat_total >= 3 AND stat_sourced < 0.5e0 * stat_total THEN 'warn' END"),
+    ("v2", "v2.statistics.implausible", f"CASE WHEN {_STATS} AND stat_total - stat_sourced >= 5 AND stat_sourced < 0.3e0 * stat_total THEN 'warn' END"),
+    ("v2", "v2.quotations.attribution", f"CASE WHEN {_QUOTES} AND quote_found > 0 AND quote_attributed < 0.7e0 * quote_found THEN 'warn' END"),
+    ("v2", "v2.quotations.unattributed", f"CASE WHEN {_QUOTES} AND quote_found - quote_attributed >= 3 AND quote_attributed < 0.3e0 * quote_found THEN 'warn' END"),
     ("v2", "v2.citations.link_farm", "CASE WHEN link_farm THEN 'fail' END"),
-    ("v2", "v2.citations.no_links", "CASE WHEN external = 0 THEN 'warn' END"),
+    ("v2", "v2.citations.no_links", "CASE WHEN external = 0 AND NOT link_farm THEN 'warn' END"),
     ("v2", "v2.clarity.pronouns", "CASE WHEN v2_pronoun_points > 0 THEN 'warn' END"),
     ("v2", "v2.observations.heading_hierarchy", "CASE WHEN heading_status <> 'pass' THEN 'warn' END"),
     ("v2", "v2.observations.section_containment", "CASE WHEN section_status <> 'pass' THEN 'warn' END"),
     ("v2", "v2.observations.answer_first", "CASE WHEN answer_status <> 'pass' THEN 'warn' END"),
-    ("v2", "v2.observations.attribution", "CASE WHEN quote_attributed < quote_total OR stat_sourced < stat_total THEN 'warn' END"),
+    ("v2", "v2.observations.attribution", "CASE WHEN attribution_status <> 'pass' THEN 'warn' END"),
     ("v2", "v2.observations.freshness", "CASE WHEN fresh_status <> 'pass' THEN 'warn' END"),
     ("v2", "v2.observations.link_quality", "CASE WHEN link_status <> 'pass' THEN 'warn' END"),
 )
 #: Recommendations of the second model: (condition, text).
+_ON = {k: scalar.applicable(k, "profile") for k in scalar.DIMENSIONS}
 RECOMMENDATIONS: tuple[tuple[str, str], ...] = (
-    ("v2_structure < 12 AND heading_status <> 'pass'", "Put headings in order, one level at a time"),
-    ("v2_structure < 12 AND section_status <> 'pass'", "Fill sections that hold hardly any prose"),
-    ("v2_structure < 12 AND answer_status <> 'pass'", "Open with an answer of 40 to 90 words that defines the subject"),
-    ("v2_statistics < 12", "Name a source next to each figure"),
-    ("v2_quotations < 12", "Quote named people"),
-    ("v2_citations < 12", "Link to outside sources and list them"),
-    ("v2_clarity < 16", "Use fewer pronouns and spell acronyms out"),
+    (f"{_ON['structure']} AND v2_structure < 12", "Put headings in order, fill thin sections and open with a definition"),
+    (f"{_ON['statistics']} AND v2_statistics < 12 AND stat_total > stat_sourced", "Name a source next to each figure"),
+    (f"{_ON['statistics']} AND v2_statistics < 12 AND stat_total = 0", "Bring figures from sources with authority"),
+    (f"{_ON['quotations']} AND v2_quotations < 12 AND quote_found > quote_attributed", "Attribute each quotation to a named person"),
+    (f"{_ON['quotations']} AND v2_quotations < 12 AND quote_found = 0", "Quote known experts or customers by name"),
+    (f"{_ON['citations']} AND v2_citations < 12 AND external = 0", "Link to outside sources with authority and list them"),
+    (f"{_ON['citations']} AND v2_citations < 12 AND external > 0 AND NOT sources_section", "Add a section of sources"),
+    (f"{_ON['clarity']} AND v2_clarity < 16", "Use fewer pronouns, spell acronyms out, balance paragraphs"),
+)
+#: Recommendations of the first model, in order.
+RECOMMENDATIONS_V1: tuple[tuple[str, str], ...] = (
+    ("v1_structure < 15", "Open with a summary of 40 to 90 words that stands alone"),
+    ("v1_structure < 15 AND is_html", "Break text up with tables, headings and lists in markup"),
+    ("v1_structure < 15 AND NOT is_html", "Break text up with Markdown tables, headings and lists"),
+    ("v1_statistics < 20", "Give figures, shares, amounts or dates from studies"),
+    ("v1_quotations < 20", "Quote experts directly"),
+    ("v1_citations < 20", "Link to reputable sources and list them"),
+    ("v1_clarity < 18", "Put nouns in place of vague pronouns"),
+    ("v1_clarity < 18", "Spell acronyms out where they first occur"),
 )
+#: Observations as rows: (kind, status, figures as JSON).
+OBSERVATIONS: tuple[tuple[str, str, tuple[str, ...]], ...] = (
+    ("heading_hierarchy", "heading_status", ("heading_count", "heading_skips", "heading_repeats")), ("section_self_containment", "section_status", ("section_count", "section_thin")),
+    ("paragraph_distribution", "paragraph_status", ("paragraph_count", "paragraph_min", "paragraph_max", "paragraph_median", "paragraph_long")), ("answer_first", "answer_status", ("intro_words",)),
+    ("attribution_proximity", "attribution_status", ("stat_total", "stat_sourced", "quote_found", "quote_attributed")), ("content_freshness", "fresh_status", ()), ("semantic_html", "semantic_status", ("semantic_count",)),
+    ("link_quality", "link_status", ("external", "internal", "word_count")),
+)
+
+
+def observations(scored: DataFrame) -> DataFrame:
+    """(doc_id, kind, status, facts): a row for each observation of a document; facts are its figures by name."""
+    fact = lambda names: "map_from_arrays(" + f"array({', '.join(map(repr, names))}), array({', '.join(names)}))" if names else "CAST(map() AS MAP<STRING, BIGINT>)"
+    rows = ", ".join(f"struct('{k}' AS kind, {s} AS status, {fact(names)} AS facts)" for k, s, names in OBSERVATIONS)
+    return scored.selectExpr("doc_id", f"inline(filter(array({rows}), o -> o.status IS NOT NULL))")
+
+
+def view(scored: DataFrame) -> DataFrame:
+    """The per-file view of a site report: no text, only what is shown of a file."""
+    return scored.select("doc_id", "path", "status", "v2_score", "band", "profile", F.expr("CASE WHEN status = 'error' THEN 'Read failed: ' || coalesce(path, '') END").alias("error"))
+
+
+def message(scores: DataFrame, score: str = "v2_score") -> DataFrame:
+    """One row with the report's message where there are no statistics to show: no documents, or none that could be scored; else null."""
+    return scores.agg(F.count("*").alias("n"), F.count(score).alias("k")).select(F.expr("CASE WHEN n = 0 THEN 'No documents found' WHEN k = 0 THEN 'No document could be scored' END").alias("message"))
+
+
+def deltas(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(doc_id, dimension, before, after, delta) of both models' dimensions and totals, for documents on both sides."""
+    names = [f"{m}_{k}" for m in ("v1", "v2") for k in scalar.DIMENSIONS] + ["v1_total", "v2_score"]
+    long = lambda df, c: df.select("doc_id", F.explode(F.array(*[F.struct(F.lit(n).alias("dimension"), F.col(n).alias(c)) for n in names])).alias("x")).select("doc_id", "x.*")
+    both = long(before, "before").join(long(after, "after"), ["doc_id", "dimension"])
+    return both.withColumn("delta", F.col("after") - F.col("before"))
+
+
+def tally(results: DataFrame, status: str = "status") -> DataFrame:
+    """One row of a batch's outcome: (total, succeeded, failed)."""
+    return results.agg(F.count("*").alias("total"), F.count_if(F.col(status) == "success").alias("succeeded"), F.count_if(~F.col(status).eqNullSafe(F.lit("success"))).alias("failed"))
 
 
 def findings(scored: DataFrame) -> DataFrame:
@@ -59,8 +112,9 @@ def findings_sql(scored: str) -> str:
     return f"WITH s AS MATERIALIZED ({scored}), f AS (SELECT * FROM ({parts}) t WHERE severity IS NOT NULL)"
 
 
-def recommendations(scored: DataFrame) -> DataFrame:
-    rows = ", ".join(f"CASE WHEN {c} THEN struct({i} AS ord, '{t}' AS recommendation) END" for i, (c, t) in enumerate(RECOMMENDATIONS))
+def recommendations(scored: DataFrame, rules: tuple[tuple[str, str], ...] = RECOMMENDATIONS) -> DataFrame:
+    """(doc_id, ord, recommendation) of each document, in the rules' order."""
+    rows = ", ".join(f"CASE WHEN {c} THEN struct({i} AS ord, '{t}' AS recommendation) END" for i, (c, t) in enumerate(rules))
     return scored.selectExpr("doc_id", f"inline(array_compact(array({rows})))")
 
 

@@ -17,6 +17,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HEAD_ONLY = frozenset("base link meta title script style noscript template".split())
 #: Tags whose start ends an open tag of the same group within its scope.
 IMPLIED = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "option": ({"option"}, {"select"})}
+UNSEEN = frozenset("script style noscript meta link head".split())
+ENDS_BLOCK = frozenset("p div section article header footer main nav aside h1 h2 h3 h4 h5 h6 li blockquote pre figure figcaption table tr form fieldset details summary address ol ul dl dt dd".split())
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
@@ -26,6 +28,7 @@ class Tree(HTMLParser):
     def __init__(self, page: str):
         super().__init__(convert_charrefs=True)
         self.nodes: list[list] = []
+        self.kids: list[list[str | int]] = []
         self.stack: list[int] = []
         for tag in ("html", "head"):
             self._open(tag, {})
@@ -36,7 +39,10 @@ class Tree(HTMLParser):
             self._body()
 
     def _open(self, tag: str, attrs: dict[str, str]) -> None:
+        if self.stack:
+            self.kids[self.stack[-1]].append(len(self.nodes))
         self.nodes.append([len(self.nodes), self.stack[-1] if self.stack else -1, len(self.stack), tag, attrs, []])
+        self.kids.append([])
         if tag not in VOID:
             self.stack.append(len(self.nodes) - 1)
 
@@ -87,6 +93,45 @@ class Tree(HTMLParser):
         if not self.in_body and data.strip() and self.nodes[self.stack[-1]][3] in ("html", "head"):
             self._body()
         self.nodes[self.stack[-1]][5].append(data)
+        self.kids[self.stack[-1]].append(data)
+
+    def text(self, node: int) -> str:
+        """All text in a node."""
+        return "".join(k if isinstance(k, str) else self.text(k) for k in self.kids[node])
+
+    def find(self, *tags: str) -> list[int]:
+        return [n[0] for n in self.nodes if n[3] in tags]
+
+    def within(self, node: int) -> Iterator[int]:
+        """All nodes in a node."""
+        for k in self.kids[node]:
+            if isinstance(k, int):
+                yield k
+                yield from self.within(k)
+
+    def following(self, node: int) -> list[int]:
+        """The elements after a node under the same parent."""
+        beside = [k for k in self.kids[self.nodes[node][1]] if isinstance(k, int)]
+        return beside[beside.index(node) + 1 :]
+
+    def visible(self) -> str:
+        """Text of the body as a reader sees it: blocks end in a blank line, br in a line end."""
+        out: list[str] = []
+
+        def put(node: int) -> None:
+            for k in self.kids[node]:
+                if isinstance(k, str):
+                    out.append(k)
+                elif (tag := self.nodes[k][3]) not in UNSEEN:
+                    put(k)
+                    if tag == "br":
+                        out.append("\n")
+                    elif tag in ENDS_BLOCK:
+                        out.append("\n\n")
+
+        put(self.body)
+        text = re.sub(r"\n{3,}", "\n\n", "".join(out))
+        return re.sub(r"\n[ \t]+", "\n", re.sub(r"[ \t]+\n", "\n", text)).strip()
 
 
 def _mapped(df: DataFrame, key: str, text: str, schema: str, rows: Callable[[str], list[tuple]]) -> DataFrame:
@@ -183,38 +228,38 @@ def frontmatter(df: DataFrame, key: str, text: str = "content") -> DataFrame:
     return _mapped(df, key, text, "fields string, body string", lambda t: [frontmatter_of(t)])
 
 
-def json_values(text: str) -> list[str]:
-    """The balanced JSON objects and arrays that follow each other in a text."""
-    out, i, decoder = [], 0, json.JSONDecoder()
-    while True:
-        found = [k for k in (text.find("{", i), text.find("[", i)) if k >= 0]
-        if not found:
-            return out
-        start = min(found)
-        try:
-            _, end = decoder.raw_decode(text, start)
-            out.append(text[start:end])
-            i = end
-        except ValueError:
-            depth, quoted, j = 0, False, start
-            while j < len(text):
-                c = text[j]
-                if quoted:
-                    j += c == "\\"
-                    quoted = c != '"'
-                elif c == '"':
-                    quoted = True
-                elif c in "{[":
-                    depth += 1
-                elif c in "}]":
-                    depth -= 1
-                    if not depth:
-                        break
-                j += 1
-            if depth:
-                return out
-            out.append(text[start : j + 1])
-            i = j + 1
+def balanced(body: str) -> list[str]:
+    """The JSON objects and arrays that a text consists of: none if it begins with anything else; an open one reaches to the end."""
+    out: list[str] = []
+    i, n = 0, len(body)
+    while i < n:
+        c = body[i]
+        if c not in "{[":
+            if not out and c not in " \t\n\r":
+                break
+            i += 1
+            continue
+        depth, start = 0, i
+        for m in _MARKS.finditer(body, i):
+            depth += 1 if m[0] in "{[" else -1 if m[0] in "}]" else 0
+            i = m.end()
+            if not depth:
+                break
+        else:
+            i = n
+        out.append(body[start:i])
+    return out
+
+
+_MARKS = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\Z)|[{}\[\]]', re.S)
+_LD_FENCE = re.compile(r"```(?:jsonld|json-ld|json)\s*([\s\S]*?)\s*```", re.I)
+_LD_SCRIPT = re.compile(r"<script[^>]*type\s*=\s*[\"']application/ld\+json[\"'][^>]*>([\s\S]*?)</script>", re.I)
+
+
+def ld_blocks(content: str) -> list[tuple[str, str]]:
+    """(source, JSON text) of a document's JSON-LD: values with a "@context" in JSON fences, then script tags as they are."""
+    out = [("fence", v) for m in _LD_FENCE.finditer(content) for v in balanced(m[1]) if '"@context"' in v] if "```" in content else []
+    return out + [("script", m[1]) for m in _LD_SCRIPT.finditer(content)]
 
 
 def readability(df: DataFrame, key: str, text: str = "text", lang: str = "lang") -> DataFrame:

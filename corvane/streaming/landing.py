@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.layers import apply
-from ..operators import scoring
+from ..operators import audit
 
 
 def landed(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
@@ -17,7 +16,7 @@ def landed(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame
 def scores(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     """Scores of each path once within `late`: state is kept for no longer than the watermark."""
     once = stream.withWatermark("landed_at", late).dropDuplicatesWithinWatermark(["path"])
-    return apply(once, scoring.everything(), ["doc_id", "path", "landed_at", "profile", "v2_score", "band"])
+    return audit.audited(once, ["doc_id", "path", "landed_at"], keep=["profile", "v2_score", "band"])
 
 
 def band_counts(stream: DataFrame, late: str = "1 hour", window: str = "10 minutes") -> DataFrame:

@@ -9,8 +9,6 @@ import pytest
 from corvane.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-#: Whole-score queries plan the whole projection again each; a few stand for them here, and the driver runs all.
-SLOW = {"findings_diff", "findings_dedupe", "top_recommendations", "worst_files", "acronyms_unexplained", "link_quality_md", "freshness_dates", "sections_thin", "quality_by_band", "heading_skips"}
 
 
 def rows(items):
@@ -25,7 +23,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", [n for n in catalog.oracle_sql() if n not in SLOW])
+@pytest.mark.parametrize("name", list(catalog.oracle_sql()))
 def test_query_equals_sql(spark, con, name):
     df = catalog.queries()[name](spark, SF)
     cols = sorted(df.columns)

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from corvane.functions import text as T
 from corvane.functions.layers import apply
 from corvane.functions.order import positions
-from corvane.operators import crawl, evidence, jsonld, robots, scoring, site, technical
-from corvane.sources import files, parsers
+from corvane.operators import audit, crawl, evidence, jsonld, robots, site, technical
+from corvane.sources import files, markdown, parsers
 from corvane.streaming import landing
 
 
 def scored(spark, *contents, path="a.md", keep=None):
     df = spark.createDataFrame([(i, path, c) for i, c in enumerate(contents)], "doc_id bigint, path string, content string")
-    return [r.asDict() for r in apply(df, scoring.everything(), keep).orderBy("doc_id").collect()] if keep else [r.asDict() for r in apply(df, scoring.everything()).orderBy("doc_id").collect()]
+    return [r.asDict() for r in audit.audited(df, keep=keep).orderBy("doc_id").collect()]
 
 
 def test_attribution_follows_occurrences(spark):
@@ -23,7 +23,7 @@ def test_attribution_follows_occurrences(spark):
     out = scored(
         spark, f"It rose 45% according to Acme. {far} And 45% again.", f"In 2023 {far} 1999 came.", "Use v22 on port 8080 with id: 77.", f"port 8080 is open {far} 8080 requests came, source: us", 'Quote "this is a long quotation here" said Sarah Chen today.',
         "> A quoted line\n> and more\n\n— Sarah Chen, Lead", f'"same quotation twice in text" said Ann Lee. {far} "same quotation twice in text"', "50 of them and 50% of it via mail", "",
-        keep=["doc_id", "stat_total", "stat_sourced", "quote_total", "quote_found", "quote_attributed"],
+        keep=["stat_total", "stat_sourced", "quote_total", "quote_found", "quote_attributed"],
     )
     assert [(r["stat_total"], r["stat_sourced"]) for r in out[:4]] == [(2, 1), (0, 0), (0, 0), (1, 0)]  # the 1st kept is judged at the 1st place
     assert [(r["quote_total"], r["quote_attributed"]) for r in out[4:7]] == [(1, 1), (2, 2), (2, 1)]
@@ -45,6 +45,83 @@ def test_scores_keep_their_bounds_and_order(spark):
     assert a["sources_section"] and not b["sources_section"] and a["profile"] == "editorial"
 
 
+PAGE = """<!DOCTYPE html><html><head><title>T</title><h1>not seen</h1></head><body><nav><a href="/">Home</a> <a href="#x">x</a> <a href="mailto:a@b.c">m</a></nav>
+<h1>What is <b>X</b></h1><div><p>Not beside the heading</p></div><p>X is a &amp; b &lt;tag&gt;,
+said with words.</p>
+<h2>Part</h2><p>See <a href="https://a.org/1">one</a>, <a href="http://a.org/2">two</a>, <a href="https://a.org/3">three</a>, <a href="javascript:x()">no</a>. """ + "And so on and on with more words. " * 4 + """</p>
+<blockquote>A quotation of some length</blockquote><table><tr><td>1</td></tr></table><ul><li>item</li></ul>
+<h2>References</h2><div><a href="https://a.org/4">four</a></div><h4>Skipped</h4><script>document.write("<h2>no</h2>")</script></body></html>"""
+
+
+def test_markup_is_judged_by_its_tree(spark):
+    o = audit.document(PAGE, "p.html")
+    # A heading in the head opens the body, as a browser has it.
+    assert (o["heading_count"], o["heading_skips"], o["heading_status"], o["starts_late"]) == (5, 1, "fail", False)
+    assert o["intro"] == "X is a & b <tag>, said with words." and o["intro_defines"] and o["answer_status"] == "warn"
+    assert (o["external"], o["internal"], o["link_count"], o["sources_section"], o["link_status"]) == (4, 1, 4, True, "pass")
+    assert (o["section_count"], o["section_headers"][1:]) == (6, ["not seen", "What is X", "Part", "References", "Skipped"])
+    assert (o["v1_tables"], o["v1_lists"], o["v1_headers"], o["semantic_count"], o["semantic_status"], o["v1_dynamic"]) == (4, 3, 3, 1, "warn", False)
+    assert audit.document(PAGE.replace("References", "Other"), "p.html")["sources_section"] is False
+    assert audit.document("<h2>Sources</h2><p>none</p><h2>Next</h2><p><a href='https://x.y'>z</a></p>", "p.html")["sources_section"] is False
+    bare = audit.document("<div>Home | About us and more</div><div>This line is long enough to be the opening of the page</div>", "p.html")
+    assert bare["intro"].startswith("This line") and bare["heading_status"] == "fail" and bare["section_status"] == "pass"
+    assert audit.document("<h1>T</h1><section><p>only p</p></section>", "x.html")["intro"] == "only p"
+    assert audit.document("<div id=root></div><script>ReactDOM.render(x)</script>")["v1_dynamic"] and not audit.document("# plain")["is_html"]
+    assert [audit.link_kind(x) for x in ("HTTPS://a", "/b", "c.html", "#d", "", "tel:1", "vbscript:x", " https://e ")] == ["external", "internal", "internal", "", "", "", "", "external"]
+
+
+def test_markdown_is_judged_by_its_blocks():
+    o = audit.document("Title\n=====\n\nA [x](https://a.org) and `[no](https://b.org)` but ![pic](https://c.org/i.png) and [in](/d).\n\nSub\n---\n\n- [e](https://e.org)\n\n> # Deep\n> quoted\n\nhttps://f.org and <https://g.org> and [ref].\n\n[ref]: https://h.org\n")
+    assert (o["external"], o["internal"], o["heading_count"], o["quote_count"], o["v1_lists"]) == (6, 1, 3, 1, 3)
+    assert (o["heading_skips"], o["heading_status"]) == (0, "pass")
+    assert audit.document("# A\n\n    # code\n\n~~~\n# more\n~~~\n## B ##\n\n##C\n")["heading_count"] == 2
+    assert audit.document("# A\n## a\n## A\n# b")["heading_repeats"] == 1
+    assert [b.kind for b in markdown.walk(markdown.parsed("1. one\n2. two\n   more\n\n   para\n\ntext\n* * *\n| a | b |\n|:-|-:|\n| 1 | 2 |\n<div>\nx\n</div>\n"))] == ["list", "item", "paragraph", "item", "paragraph", "paragraph", "paragraph", "rule", "table", "markup"]
+    assert markdown.rendered(markdown.parsed("A **b** `c` [d](e)\n\n- f\n- g\n\n| h | i |\n|---|---|\n| j | k |\n")) == "A b c d\nf\ng\nh - i\nj - k"
+    assert markdown.headed(markdown.parsed("# T\n\nx\n\n## S\n\np\n\n- l\n\n### U\n")) == [("S", "p\nl"), ("U", "")]
+    assert markdown.parsed(">" * 5000 + " x") and markdown.parsed("- " * 3000 + "x")
+
+
+def test_sections_count_words_by_block():
+    thin = lambda t: audit.document(t)["thin_headers"]
+    assert thin("# A\n\none two three four five\n\n## References\n\n- [Paper](https://a.org/long/path/of/words)\n") == ["References"]
+    assert thin("# A\n\n## B\n\none two three four five\n") == ["A"]
+    assert thin("# A b c d e f g h i j\n") == [] and thin("one two three four five") == [] and thin("one two three four") == ["(document start)"]
+    assert thin("# A\n\n| one | two | three | four | five |\n|---|---|---|---|---|\n") == ["A"]
+
+
+def test_settings_and_odd_rows(spark):
+    s = audit.Settings(profile="documentation", acronyms={"API": "Application Programming Interface", "SLA": "Service Level Agreement"}, limit_v1=0.5, limit_v2=0.5)
+    text = "The API is here. " + "x " * 80 + "An SLA, a service level agreement, and NASA. It it it it."
+    o = audit.document(text, "a.md", s)
+    assert (o["profile"], o["confidence"], o["overridden"], o["unexplained"], o["pronoun_points"]) == ("documentation", 1.0, True, ["API ('Application Programming Interface')", "NASA"], 0)
+    assert not audit.document(text, "a.md", audit.Settings(profile="nonsense"))["overridden"]
+    rows = [(1, None, None, "x"), (2, None, "", "x"), (None, "a.md", "# A", "x"), (2, None, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, path string, content string, levels string")
+    got = audit.audited(df).collect()
+    by = {(r.doc_id, r.status): r for r in got}
+    assert len(got) == 4 and by[1, "error"].v2_score is None and by[1, "error"].v1_total is None and by[2, "success"].heading_status == "fail" and by[None, "success"].heading_count == 1
+    assert site.summary(audit.audited(df)).first().failed == 1 and audit.audited(df.limit(0)).count() == 0
+    assert audit.audited(df, ["doc_id", "levels"], keep=["v2_score"]).columns == ["doc_id", "levels", "v2_score"]
+    with pytest.raises(ValueError):
+        audit.audited(df.withColumn("band", F.lit(1)), ["band"])
+
+
+def test_attribution_is_linear():
+    import time
+
+    def took(n):
+        text = " ".join(f"It rose 45% and {i % 7 + 10}% again, \"a quotation of this length\" he said." for i in range(n))
+        began = time.process_time()
+        o = audit.document(text)
+        assert o["stat_total"] == 2 * n and o["quote_total"] == n
+        return time.process_time() - began
+
+    took(100)
+    small, large = min(took(500) for _ in range(3)), min(took(2000) for _ in range(2))
+    assert large < 6 * small, (small, large)
+
+
 def test_site_summary_and_diff(spark):
     df = spark.createDataFrame([(1, 80), (2, 50), (3, 49), (4, None)], "doc_id bigint, v2_score bigint")
     r = site.summary(df).first()
@@ -102,10 +179,15 @@ def test_resolved_links(spark):
 
 
 def test_structured_data(spark):
-    blocks = spark.createDataFrame([(1, '{"@context":"https://schema.org","@type":"Event","name":"x"}'), (2, "{bad"), (3, '{"@type":"Gizmo"}'), (4, '[1]')], "page_id bigint, json string")
-    got = {r.page_id: r for r in jsonld.judged(blocks).collect()}
-    assert got[1].valid and got[1].known and got[1].context_ok and not got[2].valid and not got[3].known and got[4].valid
-    assert [(r.page_id, r.field) for r in jsonld.missing_fields(blocks).collect()] == [(1, "startDate")]
+    ok = '"@context":"https://schema.org"'
+    texts = [f'{{{ok},"@type":"Event","name":"x"}}', "{bad", '{"@type":"Gizmo"}', "[1]", "null", "3", f'{{{ok},"@graph":[{{"@type":"Event","name":"e"}},{{"@type":"Article, Event","headline":"h","name":"n","startDate":"2026"}},{{"name":"z"}}]}}', f'{{{ok},"@graph":[]}}', f'{{{ok},"@type":["Person","Course"],"name":"p","description":""}}', f'{{{ok},"@type":"Article","headline":0}}']
+    found = spark.createDataFrame(list(enumerate(texts)), "page_id bigint, json string")
+    wrong = sorted((r.page_id, r.node_ord, r.type, r.error) for r in jsonld.errors(found, ["page_id"]).collect())
+    assert wrong == [(0, 0, "Event", "startDate"), (1, -1, "", "invalid"), (2, -1, "", "context"), (3, -1, "", "root array"), (4, -1, "", "root null"), (5, -1, "", "root primitive"), (6, 0, "Event", "startDate"), (6, 2, "", "type"), (7, -1, "", "no nodes"), (8, 0, "Course", "description")]
+    got = {r.page_id: r for r in jsonld.judged(found, ["page_id"]).collect()}
+    assert got[9].valid and got[2].unknown_types == 1 and got[6].nodes == 3 and got[7].nodes == 0 and got[5].root == "primitive"
+    docs = spark.createDataFrame([(1, f"```json\n{texts[9]}\n```"), (2, "none"), (3, None), (4, f"<script type='application/ld+json'>{texts[0]}</script>")], "page_id bigint, content string")
+    assert sorted((r.page_id, r.block_count, r.errors, r.valid) for r in jsonld.file_verdicts(jsonld.blocks(docs, "page_id"), docs, "page_id").collect()) == [(1, 1, 0, True), (2, 0, 0, False), (3, 0, 0, False), (4, 1, 1, False)]
     a = json.loads(spark.range(1).select(jsonld.article(F.lit("H"), F.lit("u"), F.lit("Ann"), F.lit(None).cast("string")).alias("j")).first().j)
     assert a["author"]["name"] == "Ann" and "datePublished" not in a
     page = spark.range(1).select(jsonld.injected(F.lit("<html><head></head><body></body></html>"), F.lit('{"a":"</x>$1"}'), F.lit(True)).alias("x"), jsonld.injected(F.lit("# Hi"), F.lit('{"a":1}'), F.lit(False)).alias("y")).first()
@@ -119,7 +201,8 @@ def test_parsers(spark):
     assert [b[:2] for b in blocks] == [("heading", 1), ("paragraph", 0), ("quote", 0), ("item", 0), ("code", 0), ("row", 0), ("hr", 0)] and blocks[2][2] == "q\nr"
     assert parsers.frontmatter_of("---\na: yes\nb: 2024-01-01\nc: true\n---\nbody") == ('{"a": "yes", "b": "2024-01-01", "c": true}', "body")
     assert parsers.frontmatter_of("---\na: [\n---\nbody") == ("{}", "body") and parsers.frontmatter_of("no") == ("{}", "no") and parsers.frontmatter_of("---\n- x\n...\nb") == ("{}", "b")
-    assert parsers.json_values('x {"a": "}"} [1, 2] {bad} {') == ['{"a": "}"}', "[1, 2]", "{bad}"]
+    assert parsers.balanced(' {"a": "}\\\\""} x [1, [2]] {bad} {open') == ['{"a": "}\\\\""}', "[1, [2]]", "{bad}", "{open"] and parsers.balanced("x {}") == [] == parsers.balanced("")
+    assert [b[0] for b in parsers.ld_blocks('```json\n{"@context": 1}\n{"b": 2}\n```\n<script type="application/ld+json">x</script>')] == ["fence", "script"]
     df = spark.createDataFrame([(1, "<p>x", None), (2, None, None)], "id bigint, html string, lang string")
     assert parsers.dom(df, "id").where("tag = 'p' AND text = 'x'").count() == 1 and parsers.dom(df.limit(0), "id").count() == 0
 
