@@ -102,9 +102,9 @@ def tally(results: DataFrame, status: str = "status") -> DataFrame:
 
 
 def findings(scored: DataFrame) -> DataFrame:
-    """(doc_id, model, rule_id, severity, ord): a row for each finding; one scan, no join."""
+    """(doc_id, model, rule_id, severity, ord): a row for each finding of the documents that could be scored; one scan, no join."""
     rows = ", ".join(f"struct({i} AS ord, '{m}' AS model, '{r}' AS rule_id, {s} AS severity)" for i, (m, r, s) in enumerate(FINDINGS))
-    return scored.selectExpr("doc_id", f"inline(filter(array({rows}), f -> f.severity IS NOT NULL))").select("doc_id", "model", "rule_id", "severity", F.col("ord").cast("bigint").alias("ord"))
+    return scored.where("status = 'success'").selectExpr("doc_id", f"inline(filter(array({rows}), f -> f.severity IS NOT NULL))").select("doc_id", "model", "rule_id", "severity", F.col("ord").cast("bigint").alias("ord"))
 
 
 def findings_sql(scored: str) -> str:
