@@ -139,7 +139,7 @@ both("findings_diff", lambda s, d: site.diff(site.findings(scored(s, d)), site.f
      x AS (SELECT DISTINCT doc_id, rule_id FROM ({site.findings_sql('SELECT * FROM b')} SELECT * FROM f) t WHERE severity IN ('warn', 'fail')),
      y AS (SELECT DISTINCT doc_id, rule_id FROM ({site.findings_sql('SELECT * FROM a')} SELECT * FROM f) t WHERE severity IN ('warn', 'fail'))
      SELECT doc_id, rule_id, CASE WHEN y.k IS NULL THEN 'improved' WHEN x.k IS NULL THEN 'regressed' ELSE 'unchanged' END AS change FROM (SELECT *, 1 AS k FROM x) x FULL JOIN (SELECT *, 1 AS k FROM y) y USING (doc_id, rule_id)""")
-both("quality_by_band", lambda s, d: scored(s, d).select("doc_id", "profile", "band", "v2_score").join(table(s, d, "labels").select("doc_id", "quality"), "doc_id").cube("profile", "band").agg(F.count("*").alias("documents"), F.sum("quality").alias("good"), F.grouping_id().alias("level")).select(F.coalesce("profile", F.lit("all")).alias("profile"), F.coalesce("band", F.lit("all")).alias("band"), "documents", "good", "level"),
+both("quality_by_band", lambda s, d: scored(s, d).where("status = 'success'").select("doc_id", "profile", "band", "v2_score").join(table(s, d, "labels").select("doc_id", "quality"), "doc_id").cube("profile", "band").agg(F.count("*").alias("documents"), F.sum("quality").alias("good"), F.grouping_id().alias("level")).select(F.coalesce("profile", F.lit("all")).alias("profile"), F.coalesce("band", F.lit("all")).alias("band"), "documents", "good", "level"),
      f"SELECT coalesce(profile, 'all') AS profile, coalesce(band, 'all') AS band, count(*) AS documents, CAST(sum(quality) AS BIGINT) AS good, grouping_id(profile, band) AS level FROM ({_SCORED}) t JOIN labels USING (doc_id) GROUP BY CUBE (profile, band)")
 
 # Crawler policy
@@ -257,7 +257,7 @@ both("sitemap_entries", lambda s, d: crawl.sitemap_entries(sitemap_files(s, d),
 both("sitemap_verdicts", lambda s, d: crawl.sitemap_verdicts(sitemap_files(s, d), "page_id"),
      f"WITH {_PARSED_SQL} SELECT page_id, count(*) FILTER (kind = 'url' AND issue IS NULL) AS urls, count(*) FILTER (kind = 'sitemap' AND issue IS NULL) AS sitemaps, count(issue) AS skipped, xml = 'no markup' AS no_root, false AS over, false AS valid FROM x LEFT JOIN u USING (page_id) GROUP BY page_id, xml")
 both("sitemap_index", lambda s, d: crawl.index_entries(table(s, d, "pages").where("page_id IS NOT NULL").selectExpr("page_id", "CASE WHEN page_id % 5 > 0 THEN '2024-0' || CAST(page_id % 9 + 1 AS STRING) || '-01' END AS lastmod"), "page_id", "https://example.org", 60),
-     "SELECT chunk, 'https://example.org/sitemap-' || CAST(chunk + 1 AS VARCHAR) || '.xml' AS loc, max(lastmod) AS lastmod FROM (SELECT CASE WHEN page_id % 5 > 0 THEN '2024-0' || CAST(page_id % 9 + 1 AS VARCHAR) || '-01' END AS lastmod, CAST(floor((row_number() OVER (ORDER BY page_id) - 1) / 60) AS BIGINT) AS chunk FROM pages WHERE page_id IS NOT NULL) t GROUP BY chunk")
+     "SELECT chunk, 'https://example.org/sitemap-' || CAST(chunk + 1 AS VARCHAR) || '.xml' AS loc, max(lastmod) AS lastmod FROM (SELECT CASE WHEN page_id % 5 > 0 THEN '2024-0' || CAST(page_id % 9 + 1 AS VARCHAR) || '-01' END AS lastmod, CAST(floor((row_number() OVER (ORDER BY page_id) - 1) / 60) AS BIGINT) AS chunk FROM pages WHERE page_id IS NOT NULL) t GROUP BY chunk QUALIFY count(*) OVER () > 1")
 both("sitemap_files", lambda s, d: crawl.resolved_entries(markdown(s, d).where(f"NOT {crawl.error_page('path')}"), "https://example.org/", "path").select("doc_id", "loc", F.expr(crawl.lastmod("CASE WHEN doc_id % 3 = 0 THEN '2024-05-0' || CAST(doc_id % 9 + 1 AS STRING) WHEN doc_id % 3 = 1 THEN 'soon' END", "CASE WHEN doc_id % 2 = 0 THEN TIMESTAMP '2023-01-02 10:00:00' END")).alias("lastmod")),
      f"SELECT doc_id, 'https://example.org/' || path AS loc, CASE WHEN doc_id % 3 = 0 THEN '2024-05-0' || CAST(doc_id % 9 + 1 AS VARCHAR) WHEN doc_id % 2 = 0 THEN '2023-01-02' END AS lastmod FROM {MARKDOWN_FROM} m WHERE path IS NOT NULL")
 both("site_pipeline", lambda s, d: crawl.site_pipeline(table(s, d, "pages").selectExpr("url", "page_id AS ord"), table(s, d, "pages").where("page_id % 7 <> 0").selectExpr("url", "html AS content"), table(s, d, "pages").where("page_id % 5 = 0").select("url")).select("url", "state", F.length("content").cast("bigint").alias("size")),

@@ -201,7 +201,8 @@ def test_parsers(spark):
     assert [b[:2] for b in blocks] == [("heading", 1), ("paragraph", 0), ("quote", 0), ("item", 0), ("code", 0), ("row", 0), ("hr", 0)] and blocks[2][2] == "q\nr"
     assert parsers.frontmatter_of("---\na: yes\nb: 2024-01-01\nc: true\n---\nbody") == ('{"a": "yes", "b": "2024-01-01", "c": true}', "body")
     assert parsers.frontmatter_of("---\na: [\n---\nbody") == ("{}", "body") and parsers.frontmatter_of("no") == ("{}", "no") and parsers.frontmatter_of("---\n- x\n...\nb") == ("{}", "b")
-    assert parsers.balanced(' {"a": "}\\\\""} x [1, [2]] {bad} {open') == ['{"a": "}\\\\""}', "[1, [2]]", "{bad}", "{open"] and parsers.balanced("x {}") == [] == parsers.balanced("")
+    assert parsers.balanced(' {"a": "}\\""} x [1, [2]] {bad} {open') == ['{"a": "}\\""}', "[1, [2]]", "{bad}", "{open"] and parsers.balanced("x {}") == [] == parsers.balanced("")
+    assert parsers.balanced('{"a": "}\\\\""} [1]') == ['{"a": "}\\\\""} [1]']  # an escaped backslash ends no escape: the next quote opens a string
     assert [b[0] for b in parsers.ld_blocks('```json\n{"@context": 1}\n{"b": 2}\n```\n<script type="application/ld+json">x</script>')] == ["fence", "script"]
     df = spark.createDataFrame([(1, "<p>x", None), (2, None, None)], "id bigint, html string, lang string")
     assert parsers.dom(df, "id").where("tag = 'p' AND text = 'x'").count() == 1 and parsers.dom(df.limit(0), "id").count() == 0
