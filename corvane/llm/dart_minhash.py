@@ -11,10 +11,11 @@ Documents of equal signature are one before anything is joined. Signatures are c
 band are compared with the band's smallest document by the whole signature, so a band of n copies costs n comparisons.
 Members that aren't similar to that one are compared with every other member if the band has at most `wide` of them. In a
 wider band that would be quadratic: where many documents share a passage, their signatures agree in the passage's darts and in
-little else. There the darts themselves are counted, over all documents of such bands: similar documents agree in threshold * k
-darts, so they share one that at most `wide` documents have, and are compared for it, unless all they share are darts of more
-documents. Documents that have that many common darts are banded again by minima of their common darts (TABLES keys of
-DEPTH minima) and compared as in the first bands. Nothing is dropped: what limits recall are the two bandings, which tests measure.
+little else. There the darts themselves are counted, over all documents of such bands, and every document keeps its rarest ones:
+as many as leave out one dart less than similar documents agree in, so two similar ones have one of these in common. Documents
+that have such a dart in common are compared with the smallest of them, and those unlike it with every other one. If that makes
+many pairs, the components found so far are taken first, and only documents of different ones are compared. All this is exact,
+so nothing of a band is dropped, however wide it is: what limits recall is the one banding, which tests measure.
 Groups are the connected components of the similar pairs.
 
 Defined results: a null doc_id takes no part; null texts, empty ones and texts without a word are in no group; an empty table gives
@@ -37,7 +38,8 @@ from .common import discard, read_table, written
 
 SHINGLE, COORDINATES, ROWS = 3, 160, 4
 THRESHOLD = 0.5
-WIDE, TABLES, DEPTH = 64, 64, 8
+WIDE = 64
+CROSSED = 16  # pairs a document that are compared without regard to what is connected already
 BROADCAST_IDS = 1 << 20  # 8 MB of ids
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.zeros(0, np.uint64)
@@ -187,25 +189,6 @@ def _darts(k: int):
     return run
 
 
-def _minima(tables: int, depth: int):
-    """(rep, band): `tables` keys of `depth` minima each of a document's darts under hashing."""
-    seeds = mix(np.arange(1, tables * depth + 1, dtype=np.uint64) * _GOLD)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 2000):
-                part = b.slice(i, 2000)
-                lists = part.column(1)
-                dart = lists.flatten().to_numpy().view(np.uint64) * _GOLD
-                start = np.asarray(lists.offsets)[:-1] - np.asarray(lists.offsets)[0]
-                key = np.zeros((part.num_rows, tables), np.uint64)
-                for j, seed in enumerate(seeds):
-                    key[:, j // depth] = mix(key[:, j // depth] * _GOLD + np.minimum.reduceat(mix(dart ^ seed), start) + np.uint64(j))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), tables)), pa.array(key.reshape(-1).view(np.int64))], ["rep", "band"])
-
-    return run
-
-
 def _pairs(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     """Distinct (a, b), a > b, of documents of left and right that share `on`."""
     both = left.select(on, F.col("rep").alias("x")).join(right.select(on, F.col("rep").alias("y")), on).where("x <> y")
@@ -221,10 +204,11 @@ def _banded(banded: DataFrame, reps: DataFrame, k: int, threshold: float, name:
     return members, star, written(unlike.select("band", "rep", "n"), f"{name}-unlike")
 
 
-def _wide(members: DataFrame, unlike: DataFrame, reps: DataFrame, k: int, threshold: float, wide: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """Of documents that share a band of more than `wide`, one at least unlike its head: (a, b) of candidates, (a, b) of similar ones, tables that both need."""
+def _wide(members: DataFrame, unlike: DataFrame, reps: DataFrame, links: DataFrame, k: int, threshold: float, wide: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b) of similar documents: with links, they connect all similar documents of bands of more than `wide`, one at least unlike its head; tables that they need."""
+    need = next(c for c in range(k + 1) if c / k >= threshold)
     odd = unlike.where(F.col("n") > wide)
-    searched = odd.select("rep").distinct().withColumn("odd", F.lit(True))
+    searched = written(odd.select("rep").distinct(), "searched")
     there = members.join(odd.select("band").distinct(), "band", "left_semi").select("rep").distinct()
     there = written(there, "there")
     # Ids alone, sent to all executors where they are counted to be few; else both sides are shuffled, the signatures without their short form.
@@ -233,15 +217,32 @@ def _wide(members: DataFrame, unlike: DataFrame, reps: DataFrame, k: int, thresh
     discard(there)
     darts = written(among.select("rep", "sig").mapInArrow(_darts(k), "rep bigint, dart bigint"), "darts")
     counts = written(darts.groupBy("dart").agg(F.count("*").alias("n")).where("n > 1"), "dart-counts")
-    rare = darts.join(counts.where(F.col("n") <= wide), "dart").select("dart", "rep").join(searched, "rep", "left")
-    candidates = written(_pairs(rare.where("odd"), rare, "dart"), "rare")
-    common = darts.join(counts.where(F.col("n") > wide), "dart").groupBy("rep").agg(F.sort_array(F.collect_list("dart")).alias("darts")).where(F.size("darts") >= int(np.ceil(threshold * k)))
-    again = written(common.select("rep", "darts").mapInArrow(_minima(TABLES, DEPTH), "rep bigint, band bigint"), "common")
+    listed = darts.join(counts, "dart").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "dart"))).alias("darts")).where(F.size("darts") >= need)
+    rarest = written(listed.select("rep", F.explode(F.expr(f"slice(darts, 1, size(darts) - {need - 1}).dart")).alias("band")), "rarest")
     discard(darts)
     discard(counts)
-    members, star, unlike = _banded(again, among, k, threshold, "common")
-    crossed = _verified(_pairs(unlike, members, "band"), among, k, threshold).where("near").select("a", "b")
-    return candidates, star.where("near").select("a", "b").union(crossed), [among, candidates, again, members, star, unlike]
+    asked = rarest.join(rarest.join(searched, "rep", "left_semi").select("band").distinct(), "band", "left_semi")
+    members, star, unlike = _banded(asked, among, k, threshold, "rare")
+    discard(rarest)
+    links = links.union(star.where("near").select("a", "b"))
+    held = [searched, among, members, star, unlike]
+    if (unlike.agg(F.sum("n")).first()[0] or 0) > CROSSED * among.count():
+        roots = written(components(links), "roots")
+        held.append(roots)
+        pairs = _across(members, roots)
+    else:
+        asks = lambda df: df.join(searched, "rep", "left_semi")
+        pairs = _pairs(asks(unlike), members, "band").union(_pairs(unlike, asks(members), "band")).distinct()
+    return star.where("near").select("a", "b").union(_verified(pairs, among, k, threshold).where("near").select("a", "b")), held
+
+
+def _across(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Distinct (a, b), a > b, of members of a band that are in different components: those outside the band's largest one with all."""
+    placed = members.select("band", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("root", "rep").alias("root"))
+    main = placed.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1")
+    rest = placed.join(main.select("band", F.col("m.root").alias("main")), "band").where("root <> main")
+    both = rest.select("band", F.col("rep").alias("x"), F.col("root").alias("rx")).join(placed.select("band", F.col("rep").alias("y"), F.col("root").alias("ry")), "band").where("rx <> ry")
+    return both.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -275,14 +276,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, coordinates: int =
     discard(same)
     members, star, unlike = _banded(reps.select("rep", F.explode("bands").alias("band")), reps, coordinates, threshold, "band")
     candidates = _pairs(unlike.where(F.col("n") <= wide), members, "band")
-    links, held = star.where("near").select("a", "b"), [reps, members, star, unlike]
+    near = written(star.where("near").select("a", "b").union(_verified(candidates, reps, coordinates, threshold).where("near").select("a", "b")), "near")
+    links, held = near, [reps, members, star, unlike]
     if not unlike.where(F.col("n") > wide).isEmpty():
-        more, similar, tables = _wide(members, unlike, reps, coordinates, threshold, wide)
-        candidates, links, held = candidates.union(more).distinct(), links.union(similar), held + tables
-    near = written(links.union(_verified(candidates, reps, coordinates, threshold).where("near").select("a", "b")), "near")
+        more, tables = _wide(members, unlike, reps, near, coordinates, threshold, wide)
+        links, held = near.union(written(more, "near")), held + tables
     for t in held:
         discard(t)
-    roots = written(components(near), "roots")
+    roots = written(components(links), "roots")
     # Equal documents hang on their representative: no more rounds for them.
     of_equal = equal.join(roots.withColumnRenamed("node", "b"), "b", "left").select(F.col("a").alias("node"), F.coalesce("root", "b").alias("root"))
     found = roots.union(of_equal)

@@ -128,6 +128,28 @@ def test_a_shared_passage_does_not_make_pairs_quadratic(spark, monkeypatch):
     assert found[1600] < 6 * found[400], found
 
 
+@pytest.mark.parametrize("wide, crossed", [(3, 16), (1, 0)])
+def test_wide_bands_lose_no_similar_pair(spark, monkeypatch, wide, crossed):
+    monkeypatch.setattr(D, "CROSSED", crossed, raising=False)
+    rng = random.Random(4)
+    pool = [" ".join(f"p{p}w{i}" for i in range(20)) for p in range(30)]
+    texts = []
+    for _ in range(200):  # two documents that share five passages of six, all of which many have
+        a = rng.sample(range(30), 6)
+        b = a[:5] + rng.sample([p for p in range(30) if p not in a], 1)
+        texts += [" ".join(pool[p] for p in a), " ".join(pool[p] for p in b)]
+    _, e, o = _bags(texts)
+    sig = D.signatures(e, o, len(texts))
+    same = sig[:, None, :] == sig[None, :, :]
+    share, banded = same.mean(axis=2), same.reshape(len(texts), len(texts), -1, D.ROWS).all(axis=3).any(axis=2)
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if share[i, j] >= D.THRESHOLD and banded[i, j]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    group = {r.doc_id: r.keep_id for r in D.near_duplicates(docs, wide=wide).collect()}
+    assert len(near) > 200 and [(i, j) for i, j in near if group.get(i, i) != group.get(j, j)] == []
+    for i, keep in group.items():
+        assert keep < i and any(share[i, j] >= D.THRESHOLD and group.get(j, j) == keep for j in range(len(texts)) if j != i)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = {(r.doc_id, r.keep_id) for r in D.near_duplicates(documents(spark)).collect()}
     assert {(2, 1), (8, 1)} <= got and not {3, 4, 5, 6, 7, 9, None} & {d for d, _ in got}
