@@ -14,7 +14,7 @@ ranks of the smaller rounds. A node of that tree is kept as the first places of
 halving step handles at most two rows for each class, however often a run is repeated.
 
 Groups are split through counts of distinct (rank, next rank) pairs and two levels of running sums, so that no window
-holds all occurrences of a line however common it is. Texts move once, when the lines are deleted.
+holds all occurrences of a line however common it is; a round of at most WINDOWED rows is split by windows, with the same ranks. Texts move once, when the lines are deleted.
 
 Defined results: documents are in order of doc_id (null first), then of a hash of their text; rows that repeat both are
 one document and share its fate. Null texts stay null and empty ones empty; an empty table gives an empty one. A run may overlap its
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import discard, partitions, read_table, written
 
 MIN_WORDS = 7
+WINDOWED = 1 << 20  # rows that one window may hold
 _TRIMMED = r"trim(both ' \t\r' from x)"
 
 
@@ -68,6 +69,21 @@ def _starts(groups: DataFrame, within: list[str], by: str, bits: int) -> DataFra
     return joined.withColumn("start", F.coalesce("inner", F.lit(0)) + F.coalesce("outer", F.lit(0))).drop("slice", "inner", "outer")
 
 
+def _split(table: DataFrame, few: bool) -> DataFrame:
+    """(place, d, rank, n, first, above): groups of equal rank split by next.
+
+    Of few rows, by windows over a rank, all in one exchange: every exchange and broadcast costs the driver a thread.
+    """
+    if few:
+        same = Window.partitionBy("rank", "next")
+        before = F.rank().over(Window.partitionBy("rank").orderBy("next")) - 1
+        ranked = table.repartition("rank").select("place", "d", (F.col("rank") + before).alias("new"), F.count("*").over(same).alias("n"), F.min("place").over(same).alias("low"), F.col("first").alias("above"))
+        return ranked.withColumnsRenamed({"new": "rank", "low": "first"})
+    pairs = table.groupBy("rank", "next").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    split = _starts(pairs, ["rank"], "next", 16).select("rank", "next", "n", "first", (F.col("rank") + F.col("start")).alias("new"))
+    return table.select("place", "d", "rank", "next", F.col("first").alias("above")).join(split, ["rank", "next"]).select("place", "d", F.col("new").alias("rank"), "n", "first", "above")
+
+
 def suffix_array(lines: DataFrame) -> list[DataFrame]:
     """Round by round, (place, d, rank, n, first, above): repeated lines in their suffix array after 2^k lines, ordered by (rank, place).
 
@@ -82,13 +98,11 @@ def suffix_array(lines: DataFrame) -> list[DataFrame]:
         w = Window.partitionBy("d").orderBy("place")
         following = F.when(F.lead("place", width).over(w) == F.col("place") + width, F.lead("rank", width).over(w)).otherwise(F.lit(-1))
         seen = Observation()
-        table = written(placed.withColumn("next", following).observe(seen, F.count_if(F.expr("n > 1 AND next >= 0")).alias("open")), "suffixes")
+        table = written(placed.withColumn("next", following).observe(seen, F.count_if(F.expr("n > 1 AND next >= 0")).alias("open"), F.count_if(F.expr("n > 1")).alias("many")), "suffixes")
         rounds.append(table)
         if not seen.get["open"]:
             return rounds
-        pairs = table.where("n > 1").groupBy("rank", "next").agg(F.count("*").alias("n"), F.min("place").alias("first"))
-        split = _starts(pairs, ["rank"], "next", 16).select("rank", "next", "n", "first", (F.col("rank") + F.col("start")).alias("new"))
-        renamed = table.where("n > 1").select("place", "d", "rank", "next", F.col("first").alias("above")).join(split, ["rank", "next"]).select("place", "d", F.col("new").alias("rank"), "n", "first", "above")
+        renamed = _split(table.where("n > 1"), seen.get["many"] <= WINDOWED)
         placed = renamed.unionByName(table.where("n = 1").select("place", "d", "rank", "n", "first", F.lit(None).cast("bigint").alias("above")))
         width *= 2
 

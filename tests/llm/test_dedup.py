@@ -213,6 +213,27 @@ def test_maximal_runs_of_any_length_go_whole(spark):
     assert want[8, rows[8][1]] == ("z", 3) and want[10, rows[10][1]] == ("q\nr", 3)
 
 
+def test_small_rounds_take_few_exchanges_and_have_the_same_ranks(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, "\n".join(f"l{rng.choice('abc')} y" for _ in range(rng.randint(0, 40)))) for i in range(40)]
+    docs = documents(spark, [(i, t, "en", "s", 1) for i, t in rows]).select("doc_id", "text")
+    real, exchanges = L.written, []
+
+    def counting(df, name):
+        if name == "suffixes":
+            exchanges.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange "))
+        return real(df, name)
+
+    monkeypatch.setattr(L, "written", counting)
+    columns = ("place", "d", "rank", "n", "first", "above")
+    ranks = lambda: [sorted(tuple(-1 if x is None else x for x in r) for r in t.select(*columns).collect()) for t in L.suffix_array(lines)]
+    lines = L._lines(docs)
+    small = ranks()
+    assert len(small) > 3 and max(exchanges[1:]) <= 2, exchanges
+    monkeypatch.setattr(L, "WINDOWED", 0)
+    assert ranks() == small
+
+
 def test_line_dedup_of_odd_rows(spark):
     docs = documents(spark)
     got = {(r.doc_id, r.text) for r in L.without_repeats(docs).collect()}
