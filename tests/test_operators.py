@@ -90,6 +90,12 @@ def test_sections_count_words_by_block():
     assert thin("# A\n\n| one | two | three | four | five |\n|---|---|---|---|---|\n") == ["A"]
 
 
+def test_names_of_entities_are_no_words_of_a_section():
+    page = "<html><body><h1>T</h1><p>one two three four five &quot;six&quot; seven eight %s</p></body></html>"
+    assert audit.document(page % "", "p.html")["thin_headers"] == ["(document start)", "T"]
+    assert audit.document(page % "nine &amp; ten", "p.html")["thin_headers"] == ["(document start)"]
+
+
 def test_settings_and_odd_rows(spark):
     s = audit.Settings(profile="documentation", acronyms={"API": "Application Programming Interface", "SLA": "Service Level Agreement"}, limit_v1=0.5, limit_v2=0.5)
     text = "The API is here. " + "x " * 80 + "An SLA, a service level agreement, and NASA. It it it it."
