@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..sources.parsers import Tree, frontmatter_of
+from ..sources.tables import slices
 from .crawl import llms_entries
 
 _GONE = [re.compile(p, re.I) for p in (r"<script[\s\S]*?</script>", r"<style[\s\S]*?</style>", r"<!--[\s\S]*?-->")]
@@ -43,6 +44,11 @@ def structured(content: str) -> str:
     return re.sub(r"\n{4,}", "\n\n\n", content).strip()
 
 
+def _text(tree: Tree, k: int, gone: set[int]) -> str:
+    """The text in a node but for nodes that are gone. No function within _page, which would hold its tree until the next full collection."""
+    return "".join(x if isinstance(x, str) else _text(tree, x, gone) for x in tree.kids[k] if isinstance(x, str) or x not in gone)
+
+
 def _page(tree: Tree) -> str:
     gone: set[int] = set()
     for n in tree.nodes:
@@ -50,9 +56,6 @@ def _page(tree: Tree) -> str:
         if n[1] in gone or n[3] in ("script", "style", "noscript", "meta", "link", "head", "nav", "footer") or "hidden" in n[4] or n[4].get("aria-hidden") == "true" or "display:none" in style or "display: none" in style:
             gone.add(n[0])
 
-    def text(k: int) -> str:
-        return "".join(x if isinstance(x, str) else text(x) for x in tree.kids[k] if isinstance(x, str) or x not in gone)
-
     there = [k for k in tree.find("main") if k not in gone] or [k for k in tree.find("article") if k not in gone][:1] or [tree.body]
     seen, out = set(), []
     for top in there:
@@ -61,9 +64,10 @@ def _page(tree: Tree) -> str:
             if k in gone or k in seen or tag not in _SHOWN:
                 continue
             seen.add(k)
-            flat = " ".join(text(k).split())
+            own = _text(tree, k, gone)
+            flat = " ".join(own.split())
             if flat:
-                out.append("\n" + "#" * int(tag[1]) + " " + flat + "\n" if tag[0] == "h" else "- " + flat if tag == "li" else "\n```\n" + text(k) + "\n```\n" if tag in ("pre", "code") else "> " + flat if tag == "blockquote" else flat)
+                out.append("\n" + "#" * int(tag[1]) + " " + flat + "\n" if tag[0] == "h" else "- " + flat if tag == "li" else "\n```\n" + own + "\n```\n" if tag in ("pre", "code") else "> " + flat if tag == "blockquote" else flat)
     return "\n\n".join(out)
 
 
@@ -73,7 +77,7 @@ def prepared(df: DataFrame, key: str, content: str = "content", fields: Sequence
     target = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for b in batches for x in slices(b, 1)):
             out = [None if t is None else structured(with_fields(t, fields) if fields else t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(target.field(0).type), pa.array(out, pa.string())], schema=target)
 

@@ -70,6 +70,33 @@ def test_markup_is_judged_by_its_tree(spark):
     assert [audit.link_kind(x) for x in ("HTTPS://a", "/b", "c.html", "#d", "", "tel:1", "vbscript:x", " https://e ")] == ["external", "internal", "internal", "", "", "", "", "external"]
 
 
+def test_trees_go_when_they_are_read():
+    import gc
+    import weakref
+
+    from corvane.operators import linkindex
+
+    gc.disable()
+    try:
+        tree = parsers.Tree(PAGE)
+        seen = weakref.ref(tree)
+        assert tree.visible() and linkindex._page(tree)
+        del tree
+        assert seen() is None  # with functions that hold it, it would wait for a full collection
+    finally:
+        gc.enable()
+
+
+def test_workers_read_batches_in_slices():
+    import pyarrow as pa
+
+    from corvane.sources.tables import slices
+
+    texts = ["a" * 10, None, "b" * 90, "c" * 300, "", *["d"] * 7]
+    parts = [p.column(0).to_pylist() for p in slices(pa.record_batch({"t": texts}), 0, 5, 100)]
+    assert [len(p) for p in parts] == [3, 1, 5, 3] and sum(parts, []) == texts and not list(slices(pa.record_batch({"t": pa.array([], "string")}), 0))
+
+
 def test_markdown_is_judged_by_its_blocks():
     o = audit.document("Title\n=====\n\nA [x](https://a.org) and `[no](https://b.org)` but ![pic](https://c.org/i.png) and [in](/d).\n\nSub\n---\n\n- [e](https://e.org)\n\n> # Deep\n> quoted\n\nhttps://f.org and <https://g.org> and [ref].\n\n[ref]: https://h.org\n")
     assert (o["external"], o["internal"], o["heading_count"], o["quote_count"], o["v1_lists"]) == (6, 1, 3, 1, 3)
