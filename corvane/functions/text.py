@@ -36,9 +36,9 @@ VERBAL = (
 )
 PRONOUN = rf"(?i)\b{any_word('those these this them they it')}\b"
 DEFINITIONS = tuple(f" {x} " for x in ("represents", "refers to", "is a", "is an", "is the strategic"))
-_DATE = r"(\d{4}(?:-\d\d){2}|\w+\s+\d\d?,?\s*\d{4})"
-PUBLISHED = rf"(?i){any_word('date posted published')}\s*:?\s*{_DATE}"
-REVIEWED = rf"(?i)last\s*{any_word('modified reviewed updated')}\s*:?\s*{_DATE}"
+DATE = r"(\d{4}(?:-\d\d){2}|\w+\s+\d\d?,?\s*\d{4})"
+PUBLISHED = rf"(?i){any_word('date posted published')}\s*:?\s*{DATE}"
+REVIEWED = rf"(?i)last\s*{any_word('modified reviewed updated')}\s*:?\s*{DATE}"
 YEAR = r"^(?:19|20)\d{2}$"
 
 
@@ -132,6 +132,18 @@ def density_points(d: Spark, t: str, limit: float, most: int = 15) -> str:
     return f"CASE WHEN {share} > {limit}e0 THEN least({most}, {d.floor(f'({share} - {limit}e0) * 100')}) ELSE 0 END"
 
 
+BLANKS = bytes(c if c < 128 and chr(c).isalnum() or c == 95 else 32 for c in range(256))
+
+
+def spaced(text: str) -> bytes:
+    """The ASCII words of a text, with blanks for all else: what a pattern of words finds, at a fraction of its time."""
+    return text.encode("utf-8", "surrogatepass").translate(BLANKS)
+
+
+def word_count(text: str) -> int:
+    return len(spaced(text).split())
+
+
 def spanish_syllables(word: str) -> int:
     """Syllables of a Spanish word: two vowels are one unless both are open, one is closed with an accent, or they are equal;
     of three in a row the last two decide whether the third is taken too."""

@@ -15,7 +15,8 @@ ATTRIBUTION = (
     "|".join((rf"{_DASH}\s*{_NAME}\s+{_NAME}", rf"{_DASH}\s*{_TITLE}\s+{_NAME}", rf"said\s+{_NAME}\s+{_NAME}", rf"writes?\s+{_NAME}\s+[A-Z]")),
     "(?i)" + "|".join((rf"according\s+to\s+{_NAME}", r"told\s+the\s+", rf"{_said('per', 'reported by', 'according to')}\s+(?:the\s+)?{_NAME}(?:\s+{_NAME})*\s+{_BODY}")),
 )
-IDENTIFIER = rf"(?i)v$|\b{T.any_word('code status issue commit branch build release node api ids id endpoint port versions version v')}\b\s*:?\s*$"
+IDENTIFIERS = tuple("code status issue commit branch build release node api ids id endpoint port versions version v".split())
+IDENTIFIER = rf"(?i)v$|\b{T.any_of(*IDENTIFIERS)}\b\s*:?\s*$"
 QUOTED_LINE, QUOTED_TEXT = r"(?m)^>\s*[^\n]+$", r"[\x22\x{201C}][^\x22\x{201D}]{15,}[\x22\x{201D}]"
 STOP = tuple("AND BUT FOR HOW NOT OFF OUR OUT THE WHO WHY YES YOU".split())
 SEMANTIC = tuple("section nav footer header main article".split())

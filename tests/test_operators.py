@@ -97,6 +97,40 @@ def test_workers_read_batches_in_slices():
     assert [len(p) for p in parts] == [3, 1, 5, 3] and sum(parts, []) == texts and not list(slices(pa.record_batch({"t": pa.array([], "string")}), 0))
 
 
+def test_only_kept_figures_are_made(monkeypatch):
+    every = audit.document(PAGE, "p.html")
+    monkeypatch.setattr(audit, "Tree", None)
+    assert audit.document(PAGE, "p.html", keep=["status", "profile", "is_html"]) == {k: every[k] for k in ("status", "profile", "is_html")}
+    monkeypatch.undo()
+    assert all(audit.document(PAGE, "p.html", keep=[k]) == {k: v} for k, v in every.items())
+
+
+def test_fast_patterns_equal_the_portable_ones():
+    import random
+    import re
+
+    import pyarrow as pa
+
+    from corvane.operators import scalar, signals
+
+    bits = ["12", "1,234", "$5.5M", "%", "v", " ", "x", "\n", "3.5", "é", "\u212a", "\u0130", "one", "In", "ten", "out of", "third", "s", "-", "\u2014", "half", "data from", "study", " published", " in", "via", "\x0b", "(2020)", "[1, 2]", "port:", "(", ")", "NASA", "_", "Date: 2024-01-02", "last updated May 3, 2024", "contact us", "Quickstart", "estrategia"]
+    drawn = random.Random(7)
+    for _ in range(2000):
+        t = "".join(drawn.choices(bits, k=drawn.randrange(1, 30)))
+        for fast, slow in ((audit._STAT, T.STATISTIC), (audit._STAT_V1, T.STATISTIC_V1), (audit._PUBLISHED, T.PUBLISHED), (audit._REVIEWED, T.REVIEWED), (audit._ACRONYM, r"\b[A-Z]{2,}\b")):
+            assert [m.span() for m in fast.finditer(t)] == [m.span() for m in audit._rx(slow).finditer(t)], t
+        raw = t.encode().lower()
+        assert audit.spelt(raw, raw.translate(T.BLANKS).split()) == sum(len(audit._rx(p).findall(t)) for p in T.VERBAL), t
+        assert audit._identifies(t) == bool(re.search(audit._rx(signals.IDENTIFIER).pattern.replace("$", r"\Z"), t, re.A)), t
+        assert list(audit._before_parentheses(t)) == re.findall(r"\b([0-9A-Za-z]+)[\s*_~]*\([^)]", t, re.A), t
+        assert audit.detected(t, "a.md", audit.possible(pa.array([t]))[0]) == audit.detected(t, "a.md"), t
+        near = [bool(audit._rx(signals.SOURCE).search(t[max(0, m.start() - 50) : m.start() + 200])) for m in audit._STAT.finditer(t)]
+        total, sourced = audit.statistics(t)
+        assert total or not sourced
+        assert total < len(near) or sourced == sum(near), t
+    assert {p for p in scalar.PROFILE_SIGNALS if p in audit.possible(pa.array(["GET  IN\x0bTOUCH", None]))[0]} == {"service"} and audit.possible(pa.array([None], "string")) == [frozenset()]
+
+
 def test_markdown_is_judged_by_its_blocks():
     o = audit.document("Title\n=====\n\nA [x](https://a.org) and `[no](https://b.org)` but ![pic](https://c.org/i.png) and [in](/d).\n\nSub\n---\n\n- [e](https://e.org)\n\n> # Deep\n> quoted\n\nhttps://f.org and <https://g.org> and [ref].\n\n[ref]: https://h.org\n")
     assert (o["external"], o["internal"], o["heading_count"], o["quote_count"], o["v1_lists"]) == (6, 1, 3, 1, 3)
