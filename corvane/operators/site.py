@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,9 +85,11 @@ def view(scored: DataFrame) -> DataFrame:
     return scored.select("doc_id", "path", "status", "v2_score", "band", "profile", F.expr("CASE WHEN status = 'error' THEN 'Read failed: ' || coalesce(path, '') END").alias("error"))
 
 
-def message(scores: DataFrame, score: str = "v2_score") -> DataFrame:
-    """One row with the report's message where there are no statistics to show: no documents, or none that could be scored; else null."""
-    return scores.agg(F.count("*").alias("n"), F.count(score).alias("k")).select(F.expr("CASE WHEN n = 0 THEN 'No documents found' WHEN k = 0 THEN 'No document could be scored' END").alias("message"))
+def message(scores: DataFrame, score: str = "v2_score", among: Sequence[str] = ("true",)) -> DataFrame:
+    """One row for each condition in among, all from one pass, with the report's message where its rows have no statistics to show: no documents, or none that could be scored; else null."""
+    counts = [F.count(F.expr(f"CASE WHEN {c} THEN {x} END")).alias(f"{k}{i}") for i, c in enumerate(among) for k, x in (("n", "1"), ("k", score))]
+    said = ", ".join(f"struct(CASE WHEN n{i} = 0 THEN 'No documents found' WHEN k{i} = 0 THEN 'No document could be scored' END AS message)" for i in range(len(among)))
+    return scores.agg(*counts).selectExpr(f"inline(array({said}))")
 
 
 def deltas(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -198,6 +198,19 @@ def test_site_summary_and_diff(spark):
     assert {(x.rule_id, x.change) for x in site.diff(before, after).collect()} == {("a", "improved"), ("b", "unchanged"), ("c", "regressed")}
 
 
+def passes(spark, name):
+    from corvane.plans import catalog
+
+    return catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+
+
+def test_messages_come_from_one_pass(spark):
+    df = spark.createDataFrame([(1, "success", 5), (2, "error", None)], "doc_id bigint, status string, v2_score bigint")
+    said = [r.message for r in site.message(df, among=["true", "status = 'error'", "status = 'none'"]).collect()]
+    assert said == [None, "No document could be scored", "No documents found"] and site.message(df.limit(0)).first().message == "No documents found"
+    assert passes(spark, "report_message") == 1
+
+
 def test_robots_groups_and_verdicts(spark):
     text = "Disallow: /orphan\nUser-agent: *\nDisallow: /a\n# note\nAllow: /a/b\n\nDisallow: /lost\nUser-agent: gptbot, CCBot\nUser-agent: GPT\nDisallow: /*.pdf$\nDisallow:\nAllow: /x\nDisallow: /x\n\nUser-agent: GPTBot\nDisallow: /y?q=1\n"
     parsed = robots.rules(spark.createDataFrame([(1, text)], "id bigint, content string"), "id")
