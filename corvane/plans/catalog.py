@@ -57,6 +57,12 @@ def named(*expressions: str) -> list[str]:
     return [x for x in (*audit.INTS, *audit.FLAGS, *audit.TEXTS, *audit.REALS, *audit.LISTS) if any(re.search(rf"\b{x}\b", e) for e in expressions)]
 
 
+def compared(spark: SparkSession, sf_dir: str, keep: list[str]) -> DataFrame:
+    """(doc_id, side, figures): each page before and after the edit, in one pass that scores a page once which the edit leaves as it is."""
+    sides = markdown(spark, sf_dir).selectExpr("doc_id", "path", f"inline(array(struct('before' AS side, content AS content), struct('after' AS side, {EDITED} AS content)))")
+    return audit.audited(sides, ["doc_id", "side"], keep=keep)
+
+
 #: The figures as the checking engine has them; those of a null content are null.
 _SCORED = scoring_sql.sql(f"(SELECT * FROM {MARKDOWN_FROM} m WHERE content IS NOT NULL)")
 _NULLS = f"SELECT doc_id, path FROM {MARKDOWN_FROM} m WHERE content IS NULL"
@@ -134,14 +140,14 @@ both("report_message", lambda s, d: site.message(scored(s, d, ["status", "v2_sco
      f"SELECT CASE WHEN n = 0 THEN 'No documents found' WHEN k = 0 THEN 'No document could be scored' END AS message FROM (SELECT count(*) AS n, count(content) AS k FROM {MARKDOWN_FROM} m UNION ALL SELECT count(*), 0 FROM {MARKDOWN_FROM} m WHERE content IS NULL UNION ALL SELECT 0, 0) t")
 both("batch_tally", lambda s, d: site.tally(scored(s, d, ["status"])), f"SELECT count(*) AS total, count(content) AS succeeded, count(*) - count(content) AS failed FROM {MARKDOWN_FROM} m")
 _DIMS = [f"{m}_{k}" for m in ("v1", "v2") for k in S.DIMENSIONS] + ["v1_total", "v2_score"]
-both("score_deltas", lambda s, d: site.deltas(scored(s, d), audit.audited(markdown(s, d).withColumn("content", F.expr(EDITED)))),
+both("score_deltas", lambda s, d: site.deltas(compared(s, d, list(site.COMPARED))),
      f"""WITH a AS MATERIALIZED ({scoring_sql.sql(f"(SELECT doc_id, path, {EDITED} AS content FROM {MARKDOWN_FROM} m WHERE content IS NOT NULL)")}), b AS MATERIALIZED ({_SCORED}), n AS ({_NULLS})
      {' UNION ALL '.join(f"SELECT doc_id, '{x}' AS dimension, b.{x} AS before, a.{x} AS after, a.{x} - b.{x} AS delta FROM b JOIN a USING (doc_id) UNION ALL SELECT doc_id, '{x}', NULL, NULL, NULL FROM n WHERE doc_id IS NOT NULL" for x in _DIMS)}""")
 both("site_summary", lambda s, d: site.summary(scored(s, d, ["v2_score"])),
      f"""SELECT count(*) AS total, count(v2_score) AS succeeded, count(*) - count(v2_score) AS failed, floor(avg(v2_score) * 100 + 0.5) / 100 AS average, floor(median(v2_score) * 100 + 0.5) / 100 AS median, min(v2_score) AS lowest, max(v2_score) AS highest,
      floor(stddev_pop(v2_score) * 100 + 0.5) / 100 AS deviation, count(*) FILTER (v2_score >= 80) AS excellent, count(*) FILTER (v2_score BETWEEN 50 AND 79) AS good, count(*) FILTER (v2_score < 50) AS needs_work FROM (SELECT v2_score FROM ({_SCORED}) t UNION ALL SELECT NULL FROM ({_NULLS}) n) t""")
 both("worst_files", lambda s, d: site.worst(scored(s, d, ["v2_score"])), f"SELECT doc_id, path, v2_score FROM ({_SCORED}) t ORDER BY v2_score, doc_id LIMIT 5")
-both("findings_diff", lambda s, d: site.diff(site.findings(scored(s, d, _FOUND)), site.findings(audit.audited(markdown(s, d).withColumn("content", F.expr(EDITED))))),
+both("findings_diff", lambda s, d: site.changes(site.findings(compared(s, d, _FOUND), "side")),
      f"""WITH a AS MATERIALIZED ({scoring_sql.sql(f"(SELECT doc_id, path, {EDITED} AS content FROM {MARKDOWN_FROM} m WHERE content IS NOT NULL)")}), b AS MATERIALIZED ({_SCORED}),
      x AS (SELECT DISTINCT doc_id, rule_id FROM ({site.findings_sql('SELECT * FROM b')} SELECT * FROM f) t WHERE severity IN ('warn', 'fail')),
      y AS (SELECT DISTINCT doc_id, rule_id FROM ({site.findings_sql('SELECT * FROM a')} SELECT * FROM f) t WHERE severity IN ('warn', 'fail'))

@@ -211,6 +211,21 @@ def test_messages_come_from_one_pass(spark):
     assert passes(spark, "report_message") == 1
 
 
+def test_both_sides_of_an_edit_come_from_one_pass(spark):
+    found = spark.createDataFrame([(i, r, s, side) for i in (1, None) for r, s, side in [("a", "warn", "before"), ("b", "fail", "before"), ("b", "warn", "after"), ("b", "warn", "after"), ("c", "pass", "before"), ("c", "warn", "after")]], "doc_id bigint, rule_id string, severity string, side string")
+    got = sorted((str(x.doc_id), x.rule_id, x.change) for x in site.changes(found).collect())
+    assert got == [("1", "a", "improved"), ("1", "b", "unchanged"), ("1", "c", "regressed"), ("None", "a", "improved"), ("None", "b", "improved"), ("None", "b", "regressed"), ("None", "c", "regressed")]
+    rows = [(1, side, *[n] * 12) for side, n in (("before", 1), ("before", 2), ("after", 5))] + [(None, "before", *[1] * 12), (None, "after", *[1] * 12), (2, "after", *[1] * 12), (3, "before", *[None] * 12), (3, "after", *[None] * 12)]
+    out = site.deltas(spark.createDataFrame(rows, "doc_id bigint, side string, " + ", ".join(f"{x} bigint" for x in site.COMPARED))).where("dimension = 'v1_total'")
+    assert sorted(tuple(map(str, x)) for x in out.collect()) == [("1", "v1_total", "1", "5", "4"), ("1", "v1_total", "2", "5", "3"), ("3", "v1_total", "None", "None", "None")]
+    assert passes(spark, "findings_diff") == passes(spark, "score_deltas") == 1
+
+
+def test_repeated_rows_are_read_once(spark):
+    twice = spark.createDataFrame([(1, "a.md", "# A"), (2, "a.md", "# A"), (3, "b.html", "# A"), (4, None, None), (5, None, None), (6, "a.md", "# A")], "doc_id bigint, path string, content string").coalesce(1)
+    assert [(r.doc_id, r.status, r.heading_count) for r in audit.audited(twice, ["doc_id"], keep=["status", "heading_count"]).orderBy("doc_id").collect()] == [(1, "success", 1), (2, "success", 1), (3, "success", 0), (4, "error", None), (5, "error", None), (6, "success", 1)]
+
+
 def test_robots_groups_and_verdicts(spark):
     text = "Disallow: /orphan\nUser-agent: *\nDisallow: /a\n# note\nAllow: /a/b\n\nDisallow: /lost\nUser-agent: gptbot, CCBot\nUser-agent: GPT\nDisallow: /*.pdf$\nDisallow:\nAllow: /x\nDisallow: /x\n\nUser-agent: GPTBot\nDisallow: /y?q=1\n"
     parsed = robots.rules(spark.createDataFrame([(1, text)], "id bigint, content string"), "id")
